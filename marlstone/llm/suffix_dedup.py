@@ -39,7 +39,10 @@ ANCHOR = 24
 SPAN = WINDOW - ANCHOR + 1
 #: Contexts of one anchor in one document bucket beyond which its windows are dealt by their hashes.
 CROWD = 8
-QUESTION, HOT, CONTEXT, BY_WINDOW, SETTLED, PARTIAL, PASSED = range(1, 8)
+QUESTION, HOT, CONTEXT, SETTLED, PARTIAL, PASSED = range(1, 7)
+#: A message's contexts (place, anchor, document, left, length, bytes) and windows (place, number, hash, document), if it has none.
+NOTHING = [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int64, np.uint8, np.uint8, np.uint8)]
+BLANK = [np.zeros(0, t) for t in (np.uint32, np.uint8, np.uint64, np.int64)]
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
@@ -278,55 +281,60 @@ def contest(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> pa.Tab
     scanner = Scanner()
     own = scanner.bucket(blocks)
     state, _ = settled(own, replies, n)
-    rows = [(n + b, PASSED, k, block) for _, kind, k, block in replies if kind == SETTLED]
+    passed = [(k, block) for _, kind, k, block in replies if kind == SETTLED]
+    rows = [(n + b, PASSED, b, encode(np.array([k for k, _ in passed]), np.array([len(x) for _, x in passed]), np.frombuffer(b"".join(x for _, x in passed), np.uint8)))]
     contexts, windows = [], []
     for at, text, left, count in first_texts(scanner, blocks, own, state >= 2):
         (contexts if state[at] == 2 else windows).append((at, text, left, count))
-    if contexts:
-        at = np.array([x[0] for x in contexts])
-        to = key_bucket(own["m"][at], n)
-        order = np.argsort(to, kind="stable")
-        for k, part in cut(to[order], n):
-            mine = [contexts[i] for i in order[part]]
-            i = at[order[part]]
-            text = np.frombuffer(b"".join(x[1] for x in mine), np.uint8)
-            rows.append((k, CONTEXT, b, encode(i.astype(np.uint32), own["m"][i], own["doc"][i], np.array([x[2] for x in mine], np.uint8), np.array([len(x[1]) for x in mine], np.uint8), text)))
-    if windows:
-        at = np.repeat([x[0] for x in windows], [x[3] for x in windows])
-        number = np.concatenate([np.arange(x[3]) for x in windows])
-        data = np.frombuffer(b"".join(x[1] for x in windows), np.uint8)
-        begins = np.repeat(np.cumsum([0] + [len(x[1]) for x in windows[:-1]]), [x[3] for x in windows]) + number
-        hashes = scanner.hasher(data, begins, begins + WINDOW)
-        to = key_bucket(hashes, n)
-        order = np.lexsort((own["doc"][at], hashes, to))
-        for k, part in cut(to[order], n):
-            i = order[part]
-            rows.append((k, BY_WINDOW, b, encode(at[i].astype(np.uint32), number[i].astype(np.uint8), hashes[i], own["doc"][at[i]])))
+    parts: dict[int, list] = {}
+    at = np.array([x[0] for x in contexts], np.int64)
+    to = key_bucket(own["m"][at], n)
+    order = np.argsort(to, kind="stable")
+    for k, part in cut(to[order], n):
+        mine = [contexts[i] for i in order[part]]
+        i = at[order[part]]
+        text = np.frombuffer(b"".join(x[1] for x in mine), np.uint8)
+        parts[k] = [i.astype(np.uint32), own["m"][i], own["doc"][i], np.array([x[2] for x in mine], np.uint8), np.array([len(x[1]) for x in mine], np.uint8), text]
+    count = np.array([x[3] for x in windows], np.int64)
+    lengths = np.array([len(x[1]) for x in windows], np.int64)
+    at = np.repeat(np.array([x[0] for x in windows], np.int64), count)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    data = np.frombuffer(b"".join(x[1] for x in windows), np.uint8)
+    begins = np.repeat(np.cumsum(lengths) - lengths, count) + number
+    hashes = scanner.hasher(data, begins, begins + WINDOW)
+    to = key_bucket(hashes, n)
+    order = np.lexsort((own["doc"][at], hashes, to))
+    for k, part in cut(to[order], n):
+        i = order[part]
+        parts.setdefault(k, NOTHING[:]).extend([at[i].astype(np.uint32), number[i].astype(np.uint8), hashes[i], own["doc"][at[i]]])
+    for k, arrays in parts.items():
+        rows.append((k, CONTEXT, b, encode(*arrays, *(BLANK if len(arrays) == len(NOTHING) else []))))
     return pa.Table.from_batches([rows_to_batch(rows)])
 
 
 def decide(k: int, rows: list[tuple]) -> Iterator[tuple]:
     """Step 3b: the windows of contested contexts that a smaller document has too."""
-    for _, kind, src, block in rows:
+    for _, kind, b, block in rows:
         if kind == PASSED:
-            yield k, SETTLED, src, block
-    asked = [(src, *decode(block)) for _, kind, src, block in rows if kind == BY_WINDOW]
-    if asked:
-        src = np.repeat([x[0] for x in asked], [len(x[1]) for x in asked])
-        at, number, hashes, doc = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 3, 4))
-        order = np.lexsort((doc, hashes))
-        same = np.append(False, hashes[order[1:]] == hashes[order[:-1]])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        late = order[doc[order[head]] < doc[order]]
-        yield from masks(src[late], at[late], np.uint32(1) << number[late].astype(np.uint32))
+            keys, sizes, data = decode(block)
+            ends = np.cumsum(sizes)
+            yield from ((b, SETTLED, int(key), data[e - size : e].tobytes()) for key, size, e in zip(keys, sizes, ends, strict=True))
     asked = [(src, *decode(block)) for _, kind, src, block in rows if kind == CONTEXT]
-    if asked:
-        src = np.repeat([x[0] for x in asked], [len(x[1]) for x in asked])
-        at, m, doc, left, length = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 3, 4, 5))
-        text = np.concatenate([x[6] for x in asked])
-        mask = repeats(m, doc, left.astype(np.int64), length.astype(np.int64), text)
-        some = np.flatnonzero(mask)
-        yield from masks(src[some], at[some], mask[some])
+    if not asked:
+        return
+    src = np.repeat([x[0] for x in asked], [len(x[7]) for x in asked])
+    at, number, hashes, doc = (np.concatenate([x[i] for x in asked]) for i in (7, 8, 9, 10))
+    order = np.lexsort((doc, hashes))
+    same = np.append(False, hashes[order[1:]] == hashes[order[:-1]])[: len(order)]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    late = order[doc[order[head]] < doc[order]]
+    found = [(src[late], at[late], np.uint32(1) << number[late].astype(np.uint32))]
+    src = np.repeat([x[0] for x in asked], [len(x[1]) for x in asked])
+    at, m, doc, left, length = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 3, 4, 5))
+    mask = repeats(m, doc, left.astype(np.int64), length.astype(np.int64), np.concatenate([x[6] for x in asked]))
+    some = np.flatnonzero(mask)
+    found.append((src[some], at[some], mask[some]))
+    yield from masks(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def masks(src: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
@@ -340,6 +348,8 @@ def masks(src: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
 def repeats(m: np.ndarray, doc: np.ndarray, left: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Bit i of a context: a smaller document has its window i. Contexts of one anchor form a sparse suffix array."""
     out = np.zeros(len(m), np.uint32)
+    if not len(m):
+        return out
     ends = np.cumsum(length)
     begins = ends - length
     right = length - left
@@ -430,7 +440,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     asked = ask(dealt, lambda b, blocks: pose(b, blocks, n))
     replies = answer(asked, settle)
     contested = gather(dealt, replies, lambda b, blocks, rows: contest(b, blocks, rows, n))
-    decided = answer(contested, lambda k, rows: ((dst - n if kind == SETTLED else dst, kind, src, block) for dst, kind, src, block in decide(k, rows)))
+    decided = answer(contested, decide)
     return gather(dealt, decided, lambda b, blocks, rows: remove(b, blocks, rows, n), SCHEMA)
 
 

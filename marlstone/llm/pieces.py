@@ -31,37 +31,39 @@ class DoubleArray:
                     tree.append({})
                 node = tree[node][c]
             ends[node] = value
-        size = 2 * len(tree) + 1024
-        base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        taken = bytearray(size)
-        taken[0] = 1
-        queue, low = [(0, 0)], 1
+        size = 4 * len(tree) + 4 * 256
+        self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        free = np.ones(size, bool)
+        free[0] = False
+        queue, single, low = [(0, 0)], 1, 1
         for node, state in queue:
-            value[state] = ends.get(node, -1)
-            codes = sorted(tree[node])
-            if not codes:
+            self.value[state] = ends.get(node, -1)
+            codes = np.array(sorted(tree[node]), np.int64)
+            if not len(codes):
                 continue
-            while low < len(taken) and taken[low]:
-                low += 1
-            at = max(low - codes[0], 1)
-            while True:
-                if at + 256 >= len(taken):
-                    more = len(taken)
-                    taken.extend(bytes(more))
-                    base, check, value = (np.concatenate([x, np.full(more, fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
-                if not any(taken[at + c] for c in codes):
-                    break
-                at += 1
-            base[state] = at
-            for c in codes:
-                taken[at + c] = 1
-                check[at + c] = state
-                queue.append((tree[node][c], at + c))
-        top = len(taken) - 1
-        while top and not taken[top]:
-            top -= 1
-        top += 257
-        self.base, self.check, self.value = (np.append(x, np.full(257, fill, np.int32))[:top] for x, fill in ((base, 0), (check, -1), (value, -1)))
+            if len(codes) == 1:
+                while not free[single] or single <= codes[0]:
+                    single += 1
+                at = single - int(codes[0])
+            else:
+                at, low = self._gap(free, codes, low)
+            self.base[state] = at
+            free[at + codes] = False
+            self.check[at + codes] = state
+            queue.extend((tree[node][c], at + c) for c in codes.tolist())
+        top = int(np.flatnonzero(~free)[-1]) + 257
+        self.base, self.check, self.value = (np.append(x, np.full(257, fill, np.int32))[:top] for x, fill in ((self.base, 0), (self.check, -1), (self.value, -1)))
+
+    @staticmethod
+    def _gap(free: np.ndarray, codes: np.ndarray, low: int) -> tuple[int, int]:
+        """A base that puts all codes on free cells, and where the next search begins: past stretches that took none."""
+        step, begin = 1024, low
+        while True:
+            at = np.arange(begin, begin + step)
+            good = np.flatnonzero(free[at[:, None] + codes].all(1))
+            if len(good):
+                return int(at[good[0]]), begin if begin > low else low
+            begin += step
 
 
 class Vocabulary:

@@ -74,7 +74,7 @@ class Search:
         self.pieces.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, errors), leftmost first for each notice and without overlaps, in a text of one row."""
+        """(notice, start, end, errors), without overlaps, in a text of one row."""
         regions: dict[int, list[list[int]]] = {}
         for last, (size, own) in self.pieces.iter(text):
             for i, start in own:
@@ -92,7 +92,11 @@ class Search:
             for low, high in spans:
                 for m in self.patterns[i].finditer(text, low, min(high, len(text))):
                     found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+        kept: list[tuple[int, int, int, int]] = []  # of overlapping notices, the one with the smallest share of errors
+        for x in sorted(found, key=lambda x: (x[3] / len(self.notices[x[0]].words), x[1] - x[2], x[1], x[0])):
+            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: x[1])
 
 
 def base_places(words: list[str]) -> list[tuple[int, str]]:

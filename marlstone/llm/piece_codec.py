@@ -50,16 +50,26 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.hasher = WordHasher()
-        self.memory: dict[bytes, tuple[np.ndarray, float]] = {}
-
-    def pieces_of(self, found: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        new = [u for u in found if u not in self.memory]
-        own = dict(zip(new, zip(*self.vocabulary.best(new), strict=True), strict=True)) if new else {}
-        out = [own[u] if u in own else self.memory[u] for u in found]
-        if len(self.memory) + len(own) > MEMORY:
-            self.memory.clear()
-        self.memory.update((u, x) for u, x in own.items() if len(u) <= 64)
-        return [x[0] for x in out], np.array([x[1] for x in out])
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory: dict[bytes, int] = {}
+        self.flat, self.sizes, self.scores = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+
+    def look_up(self, found: list[bytes]) -> np.ndarray:
+        """Place of each unit in flat, sizes and scores; new ones are segmented first."""
+        if len(self.memory) > MEMORY or len(self.flat) > 8 * MEMORY:
+            self.forget()
+        known = self.memory.get
+        at = np.array([known(u, -1) for u in found], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [found[i] for i in new.tolist()]
+            flat, sizes, scores = self.vocabulary.best(fresh)
+            at[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.memory.update(zip(fresh, at[new].tolist(), strict=True))
+            self.flat, self.sizes, self.scores = (np.concatenate(x) for x in ((self.flat, flat), (self.sizes, sizes), (self.scores, scores)))
+        return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, offsets of rows in them, log scores of rows)."""
@@ -69,10 +79,9 @@ class Codec:
         _, first, at = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
         text = data.tobytes()
         found = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        pieces, scores = self.pieces_of(found)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        ids = flat[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        at = self.look_up(found)[at]
+        sizes, scores = self.sizes, self.scores
+        ids = self.flat[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])]
         bounds = np.concatenate([[0], np.cumsum(sizes[at])])[rows]
         sums = np.concatenate([[0.0], np.cumsum(scores[at])])
         return ids, bounds, sums[rows[1:]] - sums[rows[:-1]]

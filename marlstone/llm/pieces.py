@@ -98,6 +98,7 @@ class Vocabulary:
         known = [*plain, *self.byte_ids.tolist(), self.end]
         scores[known] -= np.logaddexp.reduce(scores[known])
         self.scores = scores
+        self.byte_score = float(scores[self.byte_ids[0]])
         self.texts = [b""] * n
         for i in plain:
             self.texts[i] = names[i].replace(MARK, " ").encode()
@@ -133,8 +134,7 @@ class Vocabulary:
         lengths = np.array([len(u) for u in block])
         top = int(lengths.max())
         codes = np.zeros((len(block), top + self.longest), np.uint8)
-        for i, u in enumerate(block):
-            codes[i, : len(u)] = np.frombuffer(u, np.uint8)
+        codes[np.arange(top + self.longest) < lengths[:, None]] = np.frombuffer(b"".join(block), np.uint8)
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         lead = np.where(codes < 0x80, 1, np.where(codes < 0xE0, 2, np.where(codes < 0xF0, 3, 4)))
         inner = (codes & 0xC0) == 0x80
@@ -160,42 +160,56 @@ class Vocabulary:
             for n in np.unique(size[~spelt]).tolist():
                 yield s, s + n, rows[~spelt & (size == n)], None
 
-    def best(self, units: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Viterbi: the pieces of the likeliest segmentation of each unit, and its log score. Ties go to the longer last piece."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+    def best(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi: (pieces of all units in a row, how many each has, log scores). Ties go to the longer last piece."""
         total = np.zeros(len(units))
+        sizes = np.zeros(len(units), np.int64)
+        owners, ranks, found = [], [], []
         for some in self._blocks(units):
             block = [units[i] for i in some]
+            own = np.array(some)
             if len(block) == 1 and len(block[0]) > LONG:
-                out[some[0]], total[some[0]] = self._best_long(block[0])
+                ids, total[some[0]] = self._best_long(block[0])
+                owners.append(np.full(len(ids), some[0]))
+                ranks.append(np.arange(len(ids), 0, -1))
+                found.append(ids)
                 continue
             n, top = len(block), max(map(len, block))
             score = np.full((n, top + 1), NEVER)
             score[:, 0] = 0
             back = np.zeros((n, top + 1), np.int32)
             by = np.full((n, top + 1), -1, np.int32)
-            bytes_score = self._byte_scores(block, top)
             for s, e, rows, pieces in self._arcs(block):
-                new = score[rows, s] + (self.scores[pieces] if pieces is not None else bytes_score[rows, e] - bytes_score[rows, s])
+                new = score[rows, s] + (self.scores[pieces] if pieces is not None else (e - s) * self.byte_score)
                 better = new > score[rows, e]
                 r = rows[better]
                 score[r, e], back[r, e] = new[better], s
                 by[r, e] = pieces[better] if pieces is not None else -1
-            for i, u in enumerate(block):
-                e, found = len(u), []
-                total[some[i]] = score[i, e]
-                while e:
-                    s, p = int(back[i, e]), int(by[i, e])
-                    found.extend([p] if p >= 0 else self.byte_ids[list(u[s:e][::-1])].tolist())
-                    e = s
-                out[some[i]] = np.array(found[::-1], np.int32)
-        return out, total
-
-    def _byte_scores(self, block: list[bytes], top: int) -> np.ndarray:
-        out = np.zeros((len(block), top + 1))
-        for i, u in enumerate(block):
-            out[i, 1 : len(u) + 1] = np.cumsum(self.scores[self.byte_ids[np.frombuffer(u, np.uint8)]])
-        return out
+            at = np.array([len(u) for u in block])
+            total[own] = score[np.arange(n), at]
+            rows, rank = np.arange(n), np.zeros(n, np.int64)
+            while len(rows := rows[at[rows] > 0]):  # from the ends back, all units at once
+                e = at[rows]
+                start, piece = back[rows, e], by[rows, e]
+                spelt = piece >= 0
+                rank[rows[spelt]] += 1
+                owners.append(own[rows[spelt]])
+                ranks.append(rank[rows[spelt]])
+                found.append(piece[spelt])
+                for r, x, y in zip(rows[~spelt].tolist(), start[~spelt].tolist(), e[~spelt].tolist(), strict=True):
+                    ids = self.byte_ids[list(block[r][x:y][::-1])]
+                    owners.append(np.full(y - x, own[r]))
+                    ranks.append(rank[r] + np.arange(1, y - x + 1))
+                    found.append(ids)
+                    rank[r] += y - x
+                at[rows] = start
+        if not found:
+            return np.zeros(0, np.int32), sizes, total
+        owner, rank = np.concatenate(owners), np.concatenate(ranks)
+        sizes = np.bincount(owner, minlength=len(units))
+        flat = np.empty(len(owner), np.int32)
+        flat[np.cumsum(sizes)[owner] - rank] = np.concatenate(found)
+        return flat, sizes, total
 
     def _walk(self, unit: bytes):
         """_arcs of one long unit in plain Python: (start, end, piece or -1)."""
@@ -226,7 +240,7 @@ class Vocabulary:
         score[0] = 0.0
         scores = self.scores.tolist()
         for s, e, p in self._walk(unit):
-            new = score[s] + (scores[p] if p >= 0 else sum(scores[self.byte_ids[c]] for c in unit[s:e]))
+            new = score[s] + (scores[p] if p >= 0 else (e - s) * self.byte_score)
             if new > score[e]:
                 score[e], back[e], by[e] = new, s, p
         e, found = n, []
@@ -247,9 +261,8 @@ class Vocabulary:
             top = max(map(len, block))
             forward = np.full((len(block), top + 1), NEVER)
             forward[:, 0] = 0
-            bytes_score = self._byte_scores(block, top)
             for s, e, rows, pieces in self._arcs(block):
-                new = forward[rows, s] + (self.scores[pieces] if pieces is not None else bytes_score[rows, e] - bytes_score[rows, s])
+                new = forward[rows, s] + (self.scores[pieces] if pieces is not None else (e - s) * self.byte_score)
                 old = forward[rows, e]
                 high, low = np.maximum(new, old), np.minimum(new, old)
                 forward[rows, e] = high + np.log1p(np.exp(np.where(low == NEVER, NEVER, low - np.where(high == NEVER, 0, high))))
@@ -264,7 +277,7 @@ class Vocabulary:
         forward[0] = 0.0
         scores = self.scores.tolist()
         for s, e, p in self._walk(unit):
-            new = forward[s] + (scores[p] if p >= 0 else sum(scores[self.byte_ids[c]] for c in unit[s:e]))
+            new = forward[s] + (scores[p] if p >= 0 else (e - s) * self.byte_score)
             high, low = (new, forward[e]) if new > forward[e] else (forward[e], new)
             forward[e] = high if low == NEVER else high + log1p(exp(low - high))
         return forward[n]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import op5_chat_format
 from .decontamination import op1_decontamination
 from .embedding_dedup import op7_embedding_dedup
 from .license_scan import op2_license_scan
@@ -20,7 +21,7 @@ from .toxicity import op3_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_decontamination, op2_license_scan, op3_toxicity, op4_lattice_lm, op6_sentencepiece, op7_embedding_dedup, op8_secret_scan, op9_minhash_dedup, op10_suffix_dedup]
+    own = [op1_decontamination, op2_license_scan, op3_toxicity, op4_lattice_lm, op5_chat_format, op6_sentencepiece, op7_embedding_dedup, op8_secret_scan, op9_minhash_dedup, op10_suffix_dedup]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -58,12 +58,52 @@ def cut(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(int(bounds[b]), int(bounds[b + 1]))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    return 2 * partitions(docs.sparkSession)
-
-
-def deal(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """The documents in n buckets by their id, as blocks of (ids, lengths, bytes). Null texts are empty."""
+def spark_hash(value: int) -> int:
+    """Spark's hash of an int (Murmur3, seed 42), by which it deals groups to partitions."""
+    low = 0xFFFFFFFF
+    k = value * 0xCC9E2D51 & low
+    k = ((k << 15) | (k >> 17)) * 0x1B873593 & low
+    h = 42 ^ k
+    h = (((h << 13) | (h >> 19)) & low) * 5 + 0xE6546B64 & low
+    h ^= 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & low
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & low
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+class Buckets:
+    """n buckets, and n more that only pass messages on; names are their keys in rows.
+
+    There are as many as shuffle partitions, and each of the n has a name that
+    Spark's hash deals to a partition of its own.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        own: list[list[int]] = [[] for _ in range(n)]
+        short, value = 2 * n, 0
+        while short:
+            place = own[spark_hash(value) % n]
+            if len(place) < 2:
+                place.append(value)
+                short -= 1
+            value += 1
+        self.names = [x[0] for x in own] + [x[1] for x in own]
+        self.index = {name: i for i, name in enumerate(self.names)}
+
+    def batch(self, rows: Iterable[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        """Rows of DEALT, from (bucket, kind, source, block)."""
+        b, kind, src, block = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array([self.names[i] for i in b], pa.int32()), pa.array(kind, pa.int32()), pa.array(src, pa.int32()), pa.array(block, pa.binary())], names=["b", "kind", "src", "block"])
+
+
+def buckets_for(docs: DataFrame) -> Buckets:
+    return Buckets(partitions(docs.sparkSession))
+
+
+def deal(docs: DataFrame, doc_id: str, text: str, buckets: Buckets) -> DataFrame:
+    """The documents in buckets by their id, as blocks of (ids, lengths, bytes). Null texts are empty."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -83,14 +123,14 @@ def deal(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
         ids, lengths, data = (np.concatenate(x) for x in zip(*held, strict=True))
         with np.errstate(over="ignore"):
             spread = np.where(ids == NO_ID, np.arange(len(ids)), 0).astype(np.uint64)
-            bucket = (mix(ids.view(np.uint64) + np.uint64(77) + mix(spread)) % np.uint64(n)).astype(np.int64)
+            bucket = (mix(ids.view(np.uint64) + np.uint64(77) + mix(spread)) % np.uint64(buckets.n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         rows = []
-        for b, part in cut(bucket[order], n):
+        for b, part in cut(bucket[order], buckets.n):
             own = order[part]
             rows.append((b, 0, 0, encode(ids[own], lengths[own], data[ranges(offsets[own], lengths[own])])))
-        return rows_to_batch(rows)
+        return buckets.batch(rows)
 
     ids = F.col(doc_id).cast("long").alias("id")
     return docs.select(ids, F.col(text).alias("text")).mapInArrow(pack, DEALT)
@@ -103,11 +143,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def rows_to_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    b, kind, src, block = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array(src, pa.int32()), pa.array(block, pa.binary())], names=["b", "kind", "src", "block"])
-
-
 def blocks_of(rows: pa.Table) -> Iterator[tuple[int, int, int, bytes]]:
     return zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)
 
@@ -124,28 +159,37 @@ def texts_of(blocks: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tupl
             row = end
 
 
-def ask(dealt: DataFrame, question: Callable[[int, list[bytes]], Iterator[tuple]]) -> DataFrame:
-    """question(bucket, document blocks) -> rows of DEALT, b being the key bucket that answers."""
+def ask(dealt: DataFrame, buckets: Buckets, question: Callable[[int, list[bytes]], Iterable[tuple]]) -> DataFrame:
+    """question(bucket, document blocks) -> rows, the bucket in them being the key bucket that answers."""
 
     def run(key, rows):
-        return pa.Table.from_batches([rows_to_batch(list(question(key[0].as_py(), [x[3] for x in blocks_of(rows)])))])
+        return pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(rows)]))])
 
     return dealt.groupBy("b").applyInArrow(run, DEALT)
 
 
-def answer(asked: DataFrame, reply: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
-    """reply(key bucket, rows) -> rows of DEALT, b being the document bucket that asked."""
+def answer(asked: DataFrame, buckets: Buckets, reply: Callable[[int, list[tuple]], Iterable[tuple]]) -> DataFrame:
+    """reply(key bucket, rows) -> rows, the bucket in them being the document bucket that asked."""
 
     def run(key, rows):
-        return pa.Table.from_batches([rows_to_batch(list(reply(key[0].as_py(), list(blocks_of(rows)))))])
+        return pa.Table.from_batches([buckets.batch(reply(buckets.index[key[0].as_py()], list(blocks_of(rows))))])
 
     return asked.groupBy("b").applyInArrow(run, DEALT)
 
 
-def gather(dealt: DataFrame, replies: DataFrame, finish: Callable[[int, list[bytes], list[tuple]], pa.Table], schema: str = DEALT) -> DataFrame:
-    """finish(bucket, document blocks, replies) -> table of the schema. The dealt documents' exchange is used again."""
+def ask_again(dealt: DataFrame, replies: DataFrame, buckets: Buckets, question: Callable[[int, list[bytes], list[tuple]], Iterable[tuple]]) -> DataFrame:
+    """question(bucket, document blocks, replies) -> rows. The dealt documents' exchange is used again."""
+
+    def run(key, left, right):
+        return pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right))))])
+
+    return dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(run, DEALT)
+
+
+def gather(dealt: DataFrame, replies: DataFrame, buckets: Buckets, finish: Callable[[int, list[bytes], list[tuple]], pa.Table], schema: str) -> DataFrame:
+    """finish(bucket, document blocks, replies) -> table of the schema."""
 
     def run(key, left, right):
-        return finish(key[0].as_py(), [x[3] for x in blocks_of(left)], list(blocks_of(right)))
+        return finish(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right)))
 
     return dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import WordHasher, class_table, lower_table, mix, word_bounds
-from .exchange import NO_ID, answer, ask, bucket_count, cut, deal, decode, encode, gather, texts_of
+from .exchange import NO_ID, answer, ask, buckets_for, cut, deal, decode, encode, gather, texts_of
 from .pieces import Vocabulary, default_model
 
 COUNTS = 1
@@ -138,11 +138,12 @@ def lattice_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts. Null texts are empty: one token, the end. Rows without an id are held
     out. Repeated rows count each time. Other columns are ignored.
     """
-    n = bucket_count(docs)
+    buckets = buckets_for(docs)
+    n = buckets.n
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(model or default_model()))
-    dealt = deal(docs, doc_id, text, n)
-    replies = answer(ask(dealt, lambda b, blocks: pose(b, blocks, n, folds, fold)), reply)
-    return gather(dealt, replies, lambda b, blocks, rows: score(b, blocks, rows, n, folds, fold, held.value), SCHEMA)
+    dealt = deal(docs, doc_id, text, buckets)
+    replies = answer(ask(dealt, buckets, lambda b, blocks: pose(b, blocks, n, folds, fold)), buckets, reply)
+    return gather(dealt, replies, buckets, lambda b, blocks, rows: score(b, blocks, rows, n, folds, fold, held.value), SCHEMA)
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, class_table, lower_table, materialise, mix, random64, shingles, text_chunks, word_bounds
 from .components import components
-from .exchange import DEALT, answer, ask, bucket_count, cut, decode, encode, gather, rows_to_batch
+from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, cut, decode, encode
 
 COORDINATES = 64
 #: Counters of how popular postings are; they set the order of postings, not the result.
@@ -135,16 +135,16 @@ def popularity(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def pack(reps: DataFrame, n: int) -> DataFrame:
-    """Classes in n buckets by their id, as blocks of (ids, set sizes, signatures)."""
+def pack(reps: DataFrame, buckets: Buckets) -> DataFrame:
+    """Classes in buckets by their id, as blocks of (ids, set sizes, signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, size = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
             sig = matrix(batch.column(2).to_pylist())
-            bucket = (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets.n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            yield rows_to_batch([(b, 0, 0, encode(ids[order[part]], size[order[part]], sig[order[part]].ravel())) for b, part in cut(bucket[order], n)])
+            yield buckets.batch([(b, 0, 0, encode(ids[order[part]], size[order[part]], sig[order[part]].ravel())) for b, part in cut(bucket[order], buckets.n)])
 
     return reps.select("doc_id", "n", "sig").mapInArrow(run, DEALT)
 
@@ -202,7 +202,7 @@ def shared(k: int, rows: list[tuple]) -> Iterator[tuple]:
             yield src, SHARED, k, encode(keys[i])
 
 
-def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.ndarray, threshold: int) -> pa.Table:
+def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.ndarray, threshold: int) -> list[tuple]:
     """Links inside the bucket; one document for each part of each shared posting goes on."""
     own = Bucket(blocks, popular, threshold)
     wide = np.zeros(len(own.unique), bool)
@@ -228,7 +228,7 @@ def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.
             i = order[part]
             who, at = np.unique(r[i], return_inverse=True)  # a document's signature goes once, however many postings
             out.append((k, POSTING, b, encode(key[i], at, own.ids[who], own.size[who], own.sig[who].ravel())))
-    return pa.Table.from_batches([rows_to_batch(out)])
+    return out
 
 
 def meet(k: int, rows: list[tuple], threshold: int) -> Iterator[tuple]:
@@ -257,17 +257,18 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links on signatures that connect whatever signatures connect."""
     spark = reps.sparkSession
     held = spark.sparkContext.broadcast(popularity(reps))
-    n = bucket_count(reps)
-    dealt = pack(reps, n)
-    replies = answer(ask(dealt, lambda b, blocks: pose(b, blocks, n, held.value, threshold)), shared)
-    posted = gather(dealt, replies, lambda b, blocks, rows: post(b, blocks, rows, n, held.value, threshold))
+    buckets = buckets_for(reps)
+    n = buckets.n
+    dealt = pack(reps, buckets)
+    replies = answer(ask(dealt, buckets, lambda b, blocks: pose(b, blocks, n, held.value, threshold)), buckets, shared)
+    posted = ask_again(dealt, replies, buckets, lambda b, blocks, rows: post(b, blocks, rows, n, held.value, threshold))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in decode(block)], names=["a", "b"])
 
-    return answer(posted, lambda k, rows: meet(k, rows, threshold)).select("block").mapInArrow(spread, "a long, b long")
+    return answer(posted, buckets, lambda k, rows: meet(k, rows, threshold)).select("block").mapInArrow(spread, "a long, b long")
 
 
 class Full:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import CHUNK_BYTES, WordHasher, mix, random64
-from .exchange import NO_ID, answer, ask, bucket_count, cut, deal, decode, encode, gather, rows_to_batch, texts_of
+from .exchange import NO_ID, answer, ask, ask_again, buckets_for, cut, deal, decode, encode, gather, texts_of
 
 WINDOW = 50
 ANCHOR = 24
@@ -276,7 +276,7 @@ def first_texts(scanner: Scanner, blocks: list[bytes], own: dict, wanted: np.nda
                 yield int(at[i]), data[first[i] : last[i] + WINDOW].tobytes(), int(a[i] - first[i]), int(last[i] - first[i] + 1)
 
 
-def contest(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> pa.Table:
+def contest(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> list[tuple]:
     """Step 3a: contested contexts go out with their bytes, or window by window where anchors are crowded."""
     scanner = Scanner()
     own = scanner.bucket(blocks)
@@ -309,7 +309,7 @@ def contest(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> pa.Tab
         parts.setdefault(k, NOTHING[:]).extend([at[i].astype(np.uint32), number[i].astype(np.uint8), hashes[i], own["doc"][at[i]]])
     for k, arrays in parts.items():
         rows.append((k, CONTEXT, b, encode(*arrays, *(BLANK if len(arrays) == len(NOTHING) else []))))
-    return pa.Table.from_batches([rows_to_batch(rows)])
+    return rows
 
 
 def decide(k: int, rows: list[tuple]) -> Iterator[tuple]:
@@ -435,13 +435,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     id don't remove each other's bytes, whether equal or not; rows without an id
     count as larger than all ids. Other columns are ignored.
     """
-    n = bucket_count(docs)
-    dealt = deal(docs, doc_id, text, n)
-    asked = ask(dealt, lambda b, blocks: pose(b, blocks, n))
-    replies = answer(asked, settle)
-    contested = gather(dealt, replies, lambda b, blocks, rows: contest(b, blocks, rows, n))
-    decided = answer(contested, decide)
-    return gather(dealt, decided, lambda b, blocks, rows: remove(b, blocks, rows, n), SCHEMA)
+    buckets = buckets_for(docs)
+    n = buckets.n
+    dealt = deal(docs, doc_id, text, buckets)
+    replies = answer(ask(dealt, buckets, lambda b, blocks: pose(b, blocks, n)), buckets, settle)
+    contested = ask_again(dealt, replies, buckets, lambda b, blocks, rows: contest(b, blocks, rows, n))
+    return gather(dealt, answer(contested, buckets, decide), buckets, lambda b, blocks, rows: remove(b, blocks, rows, n), SCHEMA)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def integers(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Parts between semicolons or line feeds, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"[;\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def education(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
@@ -11,7 +12,8 @@ from .registry import Tables, query
 
 STEPS = {"signup": ("view", "click"), "view": ("click", "error", "view"), "click": ("purchase", "view", "error"), "purchase": ("view", "signup"), "error": ("view", "error")}
 STEPS_SQL = ", ".join(f"('{a}', '{b}')" for a, to in STEPS.items() for b in to)
-BY_USER = W.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user() -> WindowSpec:
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("SELECT user_id, arg_min(value, (ts, event_id)) FILTER (WHERE value > 50) AS first_large FROM events GROUP BY user_id")
@@ -36,7 +38,7 @@ def latest_version(t: Tables) -> DataFrame:
 @query("SELECT event_id, user_id, lag(event_type) OVER w AS from_state, event_type AS to_state, lag(value) OVER w AS previous_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def prev_state_lag(t: Tables) -> DataFrame:
     j = L.journal(t.events, "user_id", ["ts", "event_id"], "event_type")
-    return j.withColumn("previous_value", F.lag("value").over(BY_USER)).select("event_id", "user_id", "from_state", "to_state", "previous_value")
+    return j.withColumn("previous_value", F.lag("value").over(by_user())).select("event_id", "user_id", "from_state", "to_state", "previous_value")
 
 
 @query(f"WITH j AS (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) SELECT * FROM j WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN (VALUES {STEPS_SQL})")
@@ -49,16 +51,16 @@ def illegal_transitions(t: Tables) -> DataFrame:
 SELECT event_id, attempts, least(300, 5 * power(2, least(attempts, 20)))::BIGINT AS wait, coalesce(epoch(ts) - epoch(before) > least(300, 5 * power(2, least(attempts, 20))), true) AS due FROM e""")
 def backoff_elapsed(t: Tables) -> DataFrame:
     e = t.events.where("event_type = 'error'")
-    attempts = F.count("*").over(BY_USER.rowsBetween(W.unboundedPreceding, 0))
+    attempts = F.count("*").over(by_user().rowsBetween(W.unboundedPreceding, 0))
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    e = e.select("event_id", "ts", attempts.alias("attempts"), F.lag("ts").over(BY_USER).alias("before"))
+    e = e.select("event_id", "ts", attempts.alias("attempts"), F.lag("ts").over(by_user()).alias("before"))
     wait = L.wait_seconds(F.col("attempts"))
     return e.select("event_id", "attempts", wait.alias("wait"), F.coalesce(seconds(F.col("ts")) - seconds(F.col("before")) > wait, F.lit(True)).alias("due"))
 
 
 @query("""SELECT event_id, least(n, 3) AS attempts, CASE WHEN n >= 3 THEN 'PROCESSING_FAILED' ELSE 'PENDING_AI' END AS state FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events WHERE event_type = 'error')""")
 def retry_cap(t: Tables) -> DataFrame:
-    n = F.count("*").over(BY_USER.rowsBetween(W.unboundedPreceding, 0))
+    n = F.count("*").over(by_user().rowsBetween(W.unboundedPreceding, 0))
     e = t.events.where("event_type = 'error'").select("event_id", n.alias("n"))
     return e.select("event_id", F.least("n", F.lit(L.ATTEMPTS)).alias("attempts"), F.when(F.col("n") >= L.ATTEMPTS, "PROCESSING_FAILED").otherwise("PENDING_AI").alias("state"))
 
@@ -74,8 +76,8 @@ def last_n(t: Tables) -> DataFrame:
 r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g) SELECT user_id, run, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY user_id, run""")
 def run_grouping(t: Tables) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    cut = t.events.withColumn("cut", F.when(micros - F.lag(micros).over(BY_USER) > 3_600_000_000, 1).otherwise(0))
-    run = F.sum("cut").over(BY_USER.rowsBetween(W.unboundedPreceding, 0))
+    cut = t.events.withColumn("cut", F.when(micros - F.lag(micros).over(by_user()) > 3_600_000_000, 1).otherwise(0))
+    run = F.sum("cut").over(by_user().rowsBetween(W.unboundedPreceding, 0))
     return cut.withColumn("run", run).groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 

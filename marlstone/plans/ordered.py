@@ -111,3 +111,19 @@ def role_filter_log(t: Tables) -> DataFrame:
 @query("SELECT arg_max(event_id, (ts, event_id)) AS open_event, user_id FROM events WHERE event_type = 'view' GROUP BY user_id")
 def resume_open(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("open_event"))
+
+
+@query(None)
+def streaming_lifecycle(t: Tables) -> DataFrame:
+    """The events as a file stream, checked record by record, into a Parquet sink; all that is there, then it ends."""
+    from ..sources.files import shared_folder
+    from ..streaming.lifecycle import SCHEMA, checked
+
+    names = {"signup": "CAPTURED", "view": "PENDING_AI", "click": "AI_PROCESSED", "purchase": "NEEDS_REVIEW", "error": "PROCESSING_FAILED"}
+    state = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("event_type")]
+    at = shared_folder(t.spark)
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    journal = checked(stream.select(F.col("user_id").cast("string").alias("record_id"), F.col("event_id").alias("seq"), state.alias("state")))
+    q = journal.writeStream.format("parquet").option("path", f"{at}/journal").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(SCHEMA).parquet(f"{at}/journal")

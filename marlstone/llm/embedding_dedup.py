@@ -73,7 +73,7 @@ def postings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             reps, weights, lists = (batch.column(i).to_pylist() for i in range(3))
             for dim in sorted({len(v) for v in lists}):
                 at = [i for i, v in enumerate(lists) if len(v) == dim]
-                turn, places = held.setdefault(dim, (rotations(dim), chosen_bits(dim, bits, tables)))
+                turn, places = held[dim] if dim in held else held.setdefault(dim, (rotations(dim), chosen_bits(dim, bits, tables)))
                 for a in range(0, len(at), 512):
                     part = at[a : a + 512]
                     x = np.array([lists[i] for i in part], np.float64)
@@ -88,15 +88,16 @@ def postings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.select("rep", "weight", "embedding").mapInArrow(run, "t long, dim long, key long, rep long, weight long, block binary")
 
 
-def compare(t: int, dim: int, tables: int, reps: np.ndarray, weights: np.ndarray, blocks: list[bytes], side: np.ndarray, cross: bool, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]], int]:
+def compare(t: int, turn: np.ndarray, tables: int, reps: np.ndarray, weights: np.ndarray, blocks: list[bytes], side: np.ndarray, cross: bool, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]], int]:
     """(vectors linked to each, links that connect them, pairs computed in full) of a bucket; cross: of its two sides."""
+    dim = len(turn)
     size = (dim + 7) // 8
     raw = np.frombuffer(b"".join(blocks), np.uint8).reshape(len(blocks), -1)
     cut = np.cumsum([8 * dim, size, 8, 4 * tables])
     x, code, factor, keys = (np.ascontiguousarray(raw[:, a:b]) for a, b in zip([0, *cut[:-1]], cut, strict=True))
     x, factor, keys = x.view(np.float64), factor.view(np.float64)[:, 0], keys.view(np.int32)
     signs = np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1
-    turned = (x @ rotations(dim)[0].T).astype(np.float32)
+    turned = (x @ turn.T).astype(np.float32)
     slack = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1))
     counts: dict[int, int] = {}
     edges: list[tuple[int, int]] = []
@@ -147,10 +148,14 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("t", "dim", "key", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), (F.col("place") > F.col("other")).cast("int").alias("side"), "rep", "weight", "block")
 
+    held: dict[int, np.ndarray] = {}  # a task's rotation for each length of vectors
+
     def run(key, rows):
         t, dim, _, i, j = (k.as_py() for k in key)
+        if dim not in held:
+            held[dim] = rotations(dim)[0]
         reps, weights, side = (rows.column(c).to_numpy() for c in ("rep", "weight", "side"))
-        counts, edges, _ = compare(t, dim, tables, reps, weights, rows.column("block").to_pylist(), side, i != j, threshold)
+        counts, edges, _ = compare(t, held[dim], tables, reps, weights, rows.column("block").to_pylist(), side, i != j, threshold)
         out = [(r, n, None) for r, n in counts.items()] + [(a, 0, b) for a, b in edges]
         a, n, b = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64()), "b": pa.array(b, pa.int64())})

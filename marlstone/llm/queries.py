@@ -14,6 +14,7 @@ from .lattice_lm import op4_lattice_lm
 from .minhash_dedup import op9_minhash_dedup
 from .piece_codec import op6_sentencepiece
 from .secret_scan import op8_secret_scan
+from .secret_scan import oracle as op8_sql
 from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op3_toxicity
 
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op8_secret_scan": op8_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

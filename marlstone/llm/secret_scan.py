@@ -172,3 +172,26 @@ def scan_blobs(docs: DataFrame, text: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB's SQL."""
+    steps, kinds = [], []
+    for i, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        least = f"length(regexp_extract_all(t, '{pattern}', 1)[k])" if r.least else "0"
+        steps.append(
+            f"SELECT doc_id, rn, {i} AS rank, g.s::BIGINT AS s, g.e::BIGINT AS e FROM (SELECT doc_id, rn, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda k: "
+            f"{{'s': coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0), "
+            f"'e': coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0), 'w': {least}}}), lambda g: g.w >= {r.least})) AS g "
+            f"FROM (SELECT doc_id, rn, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')))"
+        )
+        kinds.append(f"WHEN {i} THEN '{r.kind}'")
+    name = f"CASE rank {' '.join(kinds)} END || ':' || s || ':' || e"
+    base = len(BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    return (
+        f"WITH d AS (SELECT doc_id, row_number() OVER () AS rn, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(steps)}) "
+        f"SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({name}, ',' ORDER BY s, rank) FILTER (WHERE rank < {base}), '')) AS base_sha256, coalesce(string_agg({name}, ',' ORDER BY s, rank) FILTER (WHERE rank IS NOT NULL), '') AS spans "
+        f"FROM d LEFT JOIN f USING (doc_id, rn) GROUP BY d.doc_id, d.rn"
+    )

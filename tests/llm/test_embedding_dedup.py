@@ -89,5 +89,5 @@ def test_few_pairs_are_computed_in_full():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     code, factor, keys = index(x, rotations(64), chosen_bits(64, 4, 3))
     blocks = [x[i].tobytes() + code[i].tobytes() + factor[i].tobytes() + keys[i].astype(np.int32).tobytes() for i in range(300)]
-    _, _, full = compare(0, 64, 3, np.arange(300), np.ones(300), blocks, np.zeros(300), False, 0.95)
+    _, _, full = compare(0, rotations(64)[0], 3, np.arange(300), np.ones(300), blocks, np.zeros(300), False, 0.95)
     assert full < 0.01 * 300 * 299 / 2

@@ -233,7 +233,7 @@ def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.
 
 def meet(k: int, rows: list[tuple], threshold: int) -> Iterator[tuple]:
     """Links across buckets; links found before pass through."""
-    yield from (x for x in rows if x[1] == EDGE)
+    yield from ((k, EDGE, src, block) for _, kind, src, block in rows if kind == EDGE)
     parts = [decode(block) for _, kind, _, block in rows if kind == POSTING]
     if not parts:
         return

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lifecycle import ATTEMPTS, TRANSITIONS, upsert
 
+# The stateful function travels with its code; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "record_id string, seq long, from_state string, to_state string, legal boolean, attempts int"
 
 

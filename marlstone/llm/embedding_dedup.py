@@ -29,6 +29,8 @@ THRESHOLD = 0.95
 EPSILON = 5.0
 MISS = 1e-5
 BLOCK = 1024
+#: Vectors of a bucket on average; smaller buckets need more tables.
+BUCKET = 256
 ROTATIONS = 4
 
 
@@ -43,7 +45,7 @@ def rotations(dim: int) -> list[np.ndarray]:
 
 def table_plan(count: int, threshold: float) -> tuple[int, int]:
     """(bits of a key, tables) for so many vectors."""
-    bits = min(24, max(2, math.ceil(math.log2(max(count, 2) / 32))))
+    bits = min(24, max(2, math.ceil(math.log2(max(count, 2) / BUCKET))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 

@@ -24,6 +24,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 #: Bytes of text handled at once; eight-byte work arrays of this length stay near the CPU's cache.
 CHUNK_BYTES = 1 << 20
 
+#: Stand-ins for the shared folder, by application.
+LOCAL: dict[str, str] = {}
+
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -34,13 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (tests on one machine), a temporary folder is
-    made and set, once for the session.
+    Where that setting is missing (one machine, tests), a temporary folder
+    stands in, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in LOCAL:
+            LOCAL[app] = tempfile.mkdtemp(prefix="marlstone-")
+        base = LOCAL[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -155,7 +155,7 @@ def shared_words(t: Tables) -> DataFrame:
 
 @query("SELECT user_id AS id FROM events UNION SELECT o_custkey FROM orders WHERE o_orderkey < 500")
 def set_union(t: Tables) -> DataFrame:
-    return t.events.select(F.col("user_id").alias("id")).union(t.orders.where("o_orderkey < 500").select("o_custkey")).distinct()
+    return t.events.select(F.col("user_id").alias("id")).union(t.orders.select("o_custkey")).distinct()
 
 
 @query("SELECT o_custkey AS id FROM orders EXCEPT SELECT user_id FROM events")

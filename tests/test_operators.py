@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from marlstone import catalogue
 from marlstone.operators import aggregates, lifecycle, linkage, spatial, status
 
 
@@ -90,3 +91,10 @@ def test_lines_follow_their_head(spark):
     rows = [("p", 1, 0.0, 0.0), ("p", 2, 1.0, 3.0), ("p", 3, 2.0, 6.0), ("q", 4, 0.0, 1.0)]
     out = {r.glyph: r.line for r in spatial.lines(spark.createDataFrame(rows, "page string, glyph long, x double, top double")).collect()}
     assert out == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_set_union_takes_ids_of_late_orders(spark, tmp_path):
+    spark.createDataFrame([(0, 7), (1, None)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(k, k % 3) for k in range(400)] + [(500, 8), (10**9, 9), (None, 10)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [r.id for r in catalogue.queries()["set_union"](spark, str(tmp_path)).collect()]
+    assert len(got) == 8 and set(got) == {None, 0, 1, 2, 7, 8, 9, 10}

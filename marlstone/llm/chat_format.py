@@ -27,7 +27,7 @@ NAMES = {
 }
 MARKER = re.compile(r"\s{0,3}(?:<\|?|\[|\*\*|#{1,4} {0,2})?(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")(?:\|?>|\]|\*\*)?\s{0,2}(?:[:>]|(?<=[>\]*])(?!\S)|(?<=[>\]])) ?", re.I)
 STATES = [(r, opening) for r in range(len(ROLES)) for opening in (True, False)]
-#: Turns of a conversation that are decoded together; a longer one is decoded in stretches of so many turns.
+#: Turn numbers of a stretch, in which format_conversations hands out a conversation; decoding runs over all of it.
 STRETCH = 1024
 SHAPES = 16
 FLOOR = 1e-3
@@ -83,34 +83,42 @@ class Model:
         if not lines:
             return []
         marks = [marker(x) for x in lines]
-        score, back = None, []
+        score, back = None, np.empty((len(lines), len(STATES)), np.int8)
         blank = False
-        for line, (role, _) in zip(lines, marks, strict=True):
+        for i, (line, (role, _)) in enumerate(zip(lines, marks, strict=True)):
             own = self.emission(role, shape(line, blank))
             if score is None:
                 score = self.start + own
             else:
                 paths = score[:, None] + self.move
-                back.append(paths.argmax(0))
+                back[i] = paths.argmax(0)
                 score = paths.max(0) + own
             blank = not line.strip()
         states = [int(score.argmax())]
-        for b in reversed(back):
+        for b in back[:0:-1]:
             states.append(int(b[states[-1]]))
         states.reverse()
         return [(STATES[s][0], STATES[s][1], at if STATES[s][1] and role == STATES[s][0] else 0) for s, (role, at) in zip(states, marks, strict=True)]
 
 
-def turns(text: str, model: Model) -> list[dict]:
-    """The transcript's turns; text without lines has none. Turns of one role in a row stay apart."""
+def placed_turns(text: str, model: Model) -> tuple[list[dict], list[int]]:
+    """The transcript's turns and the line that each begins at; text without lines has none. Turns of one role in a row stay apart."""
     lines = text.split("\n") if text else []
-    out: list[dict] = []
-    for line, (role, opens, at) in zip(lines, model.decode(lines), strict=True):
-        if opens or not out or out[-1]["role"] != ROLES[role]:
-            out.append({"role": ROLES[role], "text": line[at:]})
+    roles: list[str] = []
+    own: list[list[str]] = []
+    first: list[int] = []
+    for i, (line, (role, opens, at)) in enumerate(zip(lines, model.decode(lines), strict=True)):
+        if opens or not roles or roles[-1] != ROLES[role]:
+            roles.append(ROLES[role])
+            own.append([line[at:]])
+            first.append(i)
         else:
-            out[-1]["text"] += "\n" + line
-    return [t | {"text": t["text"].strip("\n")} for t in out]
+            own[-1].append(line)
+    return [{"role": r, "text": "\n".join(x).strip("\n")} for r, x in zip(roles, own, strict=True)], first
+
+
+def turns(text: str, model: Model) -> list[dict]:
+    return placed_turns(text, model)[0]
 
 
 def render(found: list[dict]) -> str:
@@ -138,35 +146,50 @@ def line_shapes(conversations: DataFrame) -> DataFrame:
     return part.groupBy("role", "opens", "shape").agg(F.sum("n").alias("n"))
 
 
-def parse(transcripts: DataFrame, key: list[str], text: str = "text", model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """The key columns, turns (role, text) and rendered form of each transcript row. Null and empty texts have no turns."""
+def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(conv_id, parts) of each transcript (conv_id, stretches, lines), decoded as a whole.
+
+    A part holds what begins in a stretch: (stretch, n_turns put in, n_parsed,
+    roles, rendered). A turn that goes on over a cut is in the part where it
+    begins, so parts in a row are the whole conversation. Empty texts have no turns.
+    """
     held = transcripts.sparkSession.sparkContext.broadcast(model or defaults())
 
+    def split(stretches: list[int], lines: list[str], own: Model) -> list[dict]:
+        found, first = placed_turns("\n".join(lines), own)
+        ends = np.cumsum([x.count("\n") + 1 for x in lines])
+        by: dict[int, tuple[list[int], list[dict]]] = {}
+        for s in stretches:
+            by.setdefault(s, ([0], []))[0][0] += 1
+        for t, k in zip(found, np.searchsorted(ends, first, side="right").tolist(), strict=True):
+            by[stretches[k]][1].append(t)
+        return [{"stretch": s, "n_turns": n, "n_parsed": len(ts), "roles": ",".join(t["role"] for t in ts), "rendered": render(ts)} for s, ((n,), ts) in by.items()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        kind = pa.list_(pa.struct([("stretch", pa.int64()), ("n_turns", pa.int64()), ("n_parsed", pa.int64()), ("roles", pa.string()), ("rendered", pa.string())]))
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [turns(t or "", own) for t in part.column(len(key)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(key))), pa.array(found, kind), pa.array([render(f) for f in found], pa.string())], names=[*key, "turns", "rendered"])
+                found = [split(s, x, own) for s, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["conv_id", "parts"])
 
-    schema = ", ".join(f"{k} {transcripts.schema[k].dataType.simpleString()}" for k in key)
-    return transcripts.select(*key, F.col(text).alias("text")).mapInArrow(run, f"{schema}, turns array<struct<role:string,text:string>>, rendered string")
+    schema = f"conv_id {transcripts.schema['conv_id'].dataType.simpleString()}"
+    return transcripts.select("conv_id", "stretches", "lines").mapInArrow(run, f"{schema}, parts array<struct<stretch:long,n_turns:long,n_parsed:long,roles:string,rendered:string>>")
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations as plain text, in stretches of STRETCH turn numbers: (conv_id, stretch, text, n_turns).
+    """Conversations as plain text, a string for each turn, with the stretch of its turn number: (conv_id, stretches, lines).
 
     Null roles leave their turns unmarked; null texts are empty; a null turn
-    comes first, as part of stretch 0; ties go by role and text; rows without a
+    comes first, as part of the first stretch; ties go by role and text; rows without a
     conversation id are one conversation without an id for each first character of their text's hash.
     """
     line = F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit("")))
-    stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(0)).cast("long")
     lost = F.when(F.col("conv_id").isNull(), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1))
-    grouped = conversations.select("conv_id", stretch.alias("stretch"), lost.alias("lost"), F.struct("turn", "role", line.alias("line")).alias("x")).groupBy("conv_id", "stretch", "lost").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return grouped.select("conv_id", "stretch", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("text"), F.size("xs").cast("long").alias("n_turns"))
+    grouped = conversations.select("conv_id", lost.alias("lost"), F.struct("turn", "role", line.alias("line")).alias("x")).groupBy("conv_id", "lost").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    first = F.least(F.lit(0), F.floor(F.array_min(F.transform("xs", lambda x: x["turn"])) / STRETCH))
+    return grouped.select("conv_id", F.transform("xs", lambda x: F.coalesce(F.floor(x["turn"] / STRETCH), first, F.lit(0)).cast("long")).alias("stretches"), F.transform("xs", lambda x: x["line"]).alias("lines"))
 
 
 def fit(shapes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,13 +202,21 @@ def fit(shapes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, move, np.log(counts / counts.sum(1, keepdims=True))
 
 
+def decoded(conversations: DataFrame) -> DataFrame:
+    return parse(transcripts(conversations), model=fit(line_shapes(conversations)))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation (and stretch of a very long one): turns put in and recovered, roles and rendered text."""
-    model = fit(line_shapes(conversations))
-    texts = transcripts(conversations)
-    found = parse(texts, ["conv_id", "stretch", "n_turns"], model=model)
-    return found.select("conv_id", "stretch", "n_turns", F.size("turns").cast("long").alias("n_parsed"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"), "rendered")
+    """One row for each conversation and stretch: turns put in and recovered, roles and rendered text of what begins there."""
+    return decoded(conversations).select("conv_id", F.explode("parts").alias("x")).select("conv_id", "x.*")
+
+
+def whole_conversations(conversations: DataFrame) -> DataFrame:
+    """One row for each conversation: turns put in and recovered, roles and rendered text."""
+    total = lambda name: F.aggregate(f"parts.{name}", F.lit(0).cast("long"), lambda a, x: a + x).alias(name)
+    roles = F.array_join(F.filter("parts.roles", lambda x: x != ""), ",").alias("roles")
+    return decoded(conversations).select("conv_id", total("n_turns"), total("n_parsed"), roles, F.array_join("parts.rendered", "").alias("rendered"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return whole_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

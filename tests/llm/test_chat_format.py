@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from marlstone.llm.chat_format import ROLES, STATES, Model, defaults, format_conversations, marker, render, shape, turns
+from marlstone.llm.chat_format import ROLES, STATES, Model, defaults, fit, format_conversations, line_shapes, marker, op5_chat_format, render, shape, turns
 
 
 def every_path(model, lines):
@@ -50,3 +50,23 @@ def test_conversations(spark):
     assert "hello\nthere" in out[(1, 0)].rendered and out[(4, 1)].roles == "assistant"
     assert set(r for x in out.values() for r in x.roles.split(",")) <= set(ROLES) | {""}
     assert format_conversations(df.limit(0)).count() == 0
+
+
+def test_one_decoding_over_all_turns(spark, tmp_path):
+    """Unmarked turns at a multiple of 1024 go on with the turn before; a conversation is one row."""
+    names = ("user", "assistant")
+    rows = [(1, i, None if i in (1024, 1025, 2048, 2049) or 3072 <= i < 4200 else "tool" if i == 1500 else names[i % 2], f"turn {i}") for i in range(4300)]
+    rows += [(2, -1, "user", "before"), (2, 0, None, "after"), (2, None, "system", "null"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    model = Model(*fit(line_shapes(df)))
+    got = {r.conv_id: r for r in op5_chat_format(spark, str(tmp_path)).collect()}
+    parts = format_conversations(df).collect()
+    assert len(got) == 3 and len(parts) == 8 and (got[3].n_turns, got[3].n_parsed, got[3].roles, got[3].rendered) == (1, 0, "", "")
+    for c in (1, 2):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1]))
+        want = turns("\n".join((f"{r[2]}: " if r[2] else "") + r[3] for r in own), model)
+        assert (got[c].n_turns, got[c].n_parsed) == (len(own), len(want))
+        assert got[c].roles == ",".join(t["role"] for t in want) and got[c].rendered == render(want)
+        assert "".join(r.rendered for r in sorted((r for r in parts if r.conv_id == c), key=lambda r: r.stretch)) == render(want)
+    assert "turn 1023\nturn 1024\nturn 1025\n" in got[1].rendered and "turn 2047\nturn 2048\n" in got[1].rendered

@@ -73,6 +73,18 @@ class Search:
             self.pieces.add_word(piece, (len(piece), own))
         self.pieces.make_automaton()
 
+    def places(self, i: int, text: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """(i, start, end, errors) of a notice in a region: the best match, then those to its left and right."""
+        least = len(self.notices[i].words) - self.notices[i].errors
+        out, rest = [], [(low, high)]
+        while rest:
+            a, b = rest.pop()
+            m = self.patterns[i].search(text, a, b) if b - a >= least else None
+            if m:
+                out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                rest += [(a, m.start() - 1), (m.end() + 1, b)]  # without the blank on either side
+        return out
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors), without overlaps, in a text of one row."""
         regions: dict[int, list[list[int]]] = {}
@@ -90,8 +102,7 @@ class Search:
         found = []
         for i, spans in regions.items():
             for low, high in spans:
-                for m in self.patterns[i].finditer(text, low, min(high, len(text))):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found += self.places(i, text, low, min(high, len(text)))
         kept: list[tuple[int, int, int, int]] = []  # of overlapping notices, the one with the smallest share of errors
         for x in sorted(found, key=lambda x: (x[3] / len(self.notices[x[0]].words), x[1] - x[2], x[1], x[0])):
             if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):

@@ -1,6 +1,6 @@
 import re
 
-from marlstone.llm.license_scan import NOTICES, PHRASES, scan, split
+from marlstone.llm.license_scan import NOTICES, PHRASES, Search, scan, split
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -35,3 +35,22 @@ def test_pieces_cover_notices():
     for n in NOTICES:
         parts = split(n.words, n.errors + 1)
         assert "".join(p for _, p in parts) == n.words and min(len(p) for _, p in parts) >= 4
+
+
+def test_neighbours_of_a_better_copy_are_kept():
+    search = Search(NOTICES)
+    for n in NOTICES:
+        edited = n.words[:-2] + n.words[-1]
+        if len(n.words) < 19 or not edited[-2].isalnum() or n.words[-2] == " ":
+            continue
+        for copies in ([edited, n.words], [edited, edited, n.words], [n.words, edited, edited], [edited, n.words, edited, n.words, edited], [edited] * 3):
+            text = " ".join(["some", *copies, "word"])
+            at, want = 5, []
+            for c in copies:
+                want.append((at, at + len(c), int(c != n.words)))
+                at += len(c) + 1
+            found = search.find(text)
+            assert [x[1:3] for x in found if search.notices[x[0]].label == n.label] == [x[:2] for x in want], (n, copies)
+            assert [x[3] for x in found if search.notices[x[0]] == n] == [x[2] for x in want if any(y[0] == NOTICES.index(n) and y[1] == x[0] for y in found)]
+    text = "all rights reservd all rights reservd all rights reserved"
+    assert [x[1:] for x in search.find(text)] == [(0, 18, 1), (19, 37, 1), (38, 57, 0)]

@@ -11,7 +11,8 @@ the count is read off the two signatures.
 1. Documents with equal shingle sets are one class from here on.
 2. Postings link classes into candidate clusters. In a list, only links between
    parts that aren't connected yet are looked for and sent on; each document
-   bucket links its own documents first and sends one for each part.
+   bucket links its own documents first and sends all that differ, with their
+   part: a document of another bucket may match any one of a part alone.
 3. In a cluster, Jaccard similarity is computed on the full sets. Clusters over
    BLOCK documents are split into blocks that share a few hubs; what isn't
    connected to the largest part after that is compared with all of the cluster.
@@ -168,9 +169,10 @@ class Bucket:
         self.bounds = np.append(self.first, len(self.token))
 
 
-def link(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, threshold: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(part of each document of a list, links that make the parts). A pair is compared only if not yet in one part."""
-    part, edges, matches = np.arange(len(ids)), [], least_matches(threshold)
+def link(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, threshold: int, known: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(part of each document of a list, links that make the parts). A pair is compared only if not yet in one part; known: parts to begin with."""
+    part = np.arange(len(ids)) if known is None else known.copy()
+    edges, matches = [], least_matches(threshold)
     for i in range(len(ids)):
         other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
         if not len(other):
@@ -203,13 +205,14 @@ def shared(k: int, rows: list[tuple]) -> Iterator[tuple]:
 
 
 def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.ndarray, threshold: int) -> list[tuple]:
-    """Links inside the bucket; one document for each part of each shared posting goes on."""
+    """Links inside the bucket; of each shared posting all documents go on but for those of equal size and signature, each with its part's name."""
     own = Bucket(blocks, popular, threshold)
     wide = np.zeros(len(own.unique), bool)
     for *_, block in replies:
         wide[np.searchsorted(own.unique, decode(block)[0])] = True
+    _, same = np.unique(np.column_stack([own.size, own.sig.astype(np.int64)]), axis=0, return_inverse=True)
     edges: set[tuple[int, int]] = set()
-    sent: list[tuple[int, int]] = []
+    sent: list[tuple[int, int, int]] = []
     for t in np.flatnonzero(wide | (np.diff(own.bounds) > 1)).tolist():
         rows = own.row[own.bounds[t] : own.bounds[t + 1]]
         part = np.arange(len(rows))
@@ -217,17 +220,18 @@ def post(b: int, blocks: list[bytes], replies: list[tuple], n: int, popular: np.
             part, found = link(own.ids[rows], own.size[rows], own.sig[rows], threshold)
             edges.update(found)
         if wide[t]:
-            sent.extend((t, int(r)) for r in rows[np.unique(part, return_index=True)[1]])
+            first = np.unique(same[rows], return_index=True)[1]
+            sent.extend(zip([t] * len(first), rows[first].tolist(), own.ids[rows[part[first]]].tolist(), strict=True))
     out = [(n + b, EDGE, b, encode(*np.array(sorted(edges), np.int64).reshape(-1, 2).T))] if edges else []
     if sent:
-        t, r = np.array(sent).T
+        t, r, name = np.array(sent, np.int64).T
         key = own.unique[t]
         to = (key % np.uint64(n)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         for k, part in cut(to[order], n):
             i = order[part]
             who, at = np.unique(r[i], return_inverse=True)  # a document's signature goes once, however many postings
-            out.append((k, POSTING, b, encode(key[i], at, own.ids[who], own.size[who], own.sig[who].ravel())))
+            out.append((k, POSTING, b, encode(key[i], at, own.ids[who], own.size[who], own.sig[who].ravel(), name[i])))
     return out
 
 
@@ -242,13 +246,16 @@ def meet(k: int, rows: list[tuple], threshold: int) -> Iterator[tuple]:
     at = np.concatenate([p[1] + s for p, s in zip(parts, shift[:-1], strict=True)])
     ids, size = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
     sig = np.concatenate([p[4] for p in parts]).reshape(-1, COORDINATES)
+    name = np.concatenate([p[5] for p in parts])
     order = np.lexsort((ids[at], key))
-    key, at = key[order], at[order]
+    key, at, name = key[order], at[order], name[order]
     bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
     edges: set[tuple[int, int]] = set()
     for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if e - a > 1:
-            edges.update(link(ids[at[a:e]], size[at[a:e]], sig[at[a:e]], threshold)[1])
+            known = np.unique(name[a:e], return_inverse=True)[1]
+            if known.any():
+                edges.update(link(ids[at[a:e]], size[at[a:e]], sig[at[a:e]], threshold, known)[1])
     if edges:
         yield k, EDGE, k, encode(*np.array(sorted(edges), np.int64).T)
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import minhash_dedup
@@ -96,3 +97,26 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_a_part_meets_other_buckets_with_all_its_members():
+    """x-y in one bucket, y-z across buckets, x and z too far apart; what y and z share in their prefixes, x has too."""
+    x = np.arange(64, dtype=np.uint32)
+    y, z = x.copy(), x.copy()
+    y[:18] += 1000
+    z[:18] += 1000
+    z[18:36] += 2000
+    popular = np.zeros(minhash_dedup.CELLS, np.int64)
+    for at, n in ((slice(18, 36), 1000), (slice(0, 18), 2000)):
+        for sig in (x, y, z):
+            popular[(minhash_dedup.tokens(sig[None])[0, at] >> np.uint64(48)).astype(np.int64)] = n
+    block = lambda *rows: [minhash_dedup.encode(np.array([i for i, _ in rows], np.int64), np.full(len(rows), 50, np.int64), np.concatenate([sig for _, sig in rows]))]
+    dealt = {0: block((1, x), (2, y)), 1: block((3, z))}
+    own = {b: minhash_dedup.Bucket(blocks, popular, 80) for b, blocks in dealt.items()}
+    common = set(own[0].unique.tolist()) & set(own[1].unique.tolist())
+    assert common and common <= set(own[0].token[own[0].row == 0].tolist()) and minhash_dedup.least_matches(80) <= 46
+    posed = [r for b, blocks in dealt.items() for r in minhash_dedup.pose(b, blocks, 1, popular, 80)]
+    replies = list(minhash_dedup.shared(0, posed))
+    posted = [r for b, blocks in dealt.items() for r in minhash_dedup.post(b, blocks, [q for q in replies if q[0] == b], 1, popular, 80)]
+    edges = {e for *_, found in minhash_dedup.meet(0, posted, 80) for e in zip(*(a.tolist() for a in minhash_dedup.decode(found)), strict=True)}
+    assert edges == {(1, 2), (2, 3)}

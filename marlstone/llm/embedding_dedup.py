@@ -34,10 +34,10 @@ BUCKET = 256
 ROTATIONS = 4
 
 
-def rotations(dim: int) -> list[np.ndarray]:
+def rotations(dim: int, count: int = ROTATIONS) -> list[np.ndarray]:
     rng = np.random.default_rng(1000 + dim)
     out = []
-    for _ in range(ROTATIONS):
+    for _ in range(count):
         q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
         out.append(q * np.sign(np.diag(r)))
     return out
@@ -50,9 +50,14 @@ def table_plan(count: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+def rotation_count(dim: int, bits: int, tables: int) -> int:
+    """So many that no two tables share a sign."""
+    return max(ROTATIONS, math.ceil(bits * tables / dim))
+
+
 def chosen_bits(dim: int, bits: int, tables: int) -> np.ndarray:
     rng = np.random.default_rng(2000 + dim)
-    return np.stack([rng.permutation(ROTATIONS * dim)[:bits] if bits <= ROTATIONS * dim else np.arange(bits) % (ROTATIONS * dim) for _ in range(tables)])
+    return rng.permutation(rotation_count(dim, bits, tables) * dim)[: bits * tables].reshape(tables, bits)
 
 
 def index(vectors: np.ndarray, turn: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +80,7 @@ def postings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             reps, weights, lists = (batch.column(i).to_pylist() for i in range(3))
             for dim in sorted({len(v) for v in lists}):
                 at = [i for i, v in enumerate(lists) if len(v) == dim]
-                turn, places = held[dim] if dim in held else held.setdefault(dim, (rotations(dim), chosen_bits(dim, bits, tables)))
+                turn, places = held[dim] if dim in held else held.setdefault(dim, (rotations(dim, rotation_count(dim, bits, tables)), chosen_bits(dim, bits, tables)))
                 for a in range(0, len(at), 512):
                     part = at[a : a + 512]
                     x = np.array([lists[i] for i in part], np.float64)

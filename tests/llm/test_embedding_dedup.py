@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from marlstone.llm import embedding_dedup
-from marlstone.llm.embedding_dedup import chosen_bits, compare, index, near_vectors, rotations, table_plan
+from marlstone.llm.embedding_dedup import chosen_bits, compare, index, near_vectors, rotation_count, rotations, table_plan
 
 
 def good(v):
@@ -91,3 +91,10 @@ def test_few_pairs_are_computed_in_full():
     blocks = [x[i].tobytes() + code[i].tobytes() + factor[i].tobytes() + keys[i].astype(np.int32).tobytes() for i in range(300)]
     _, _, full = compare(0, rotations(64)[0], 3, np.arange(300), np.ones(300), blocks, np.zeros(300), False, 0.95)
     assert full < 0.01 * 300 * 299 / 2
+
+
+def test_tables_share_no_signs():
+    for dim, count in ((64, 50_000), (64, 20_000_000), (16, 1_000_000), (2, 1000)):
+        bits, tables = table_plan(count, 0.95)
+        places = chosen_bits(dim, bits, tables)
+        assert places.shape == (tables, bits) and len(np.unique(places)) == bits * tables and places.max() < rotation_count(dim, bits, tables) * dim

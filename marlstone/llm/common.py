@@ -8,6 +8,7 @@ operations instead of a Python step per character.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 # Functions travel to the executors with their code, so that those need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -37,11 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (one machine, tests), a temporary folder
-    stands in, one for each application.
+    Where that setting is missing, a temporary folder stands in, one for each
+    application, if all of it runs in one process; on a cluster that would be
+    another folder on each machine, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in LOCAL:
             LOCAL[app] = tempfile.mkdtemp(prefix="marlstone-")
@@ -49,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Raises where a column of ids isn't of an integer type: a cast would make other ids null."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must be of an integer type, not {kind.simpleString()}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again."""
     spark = df.sparkSession

@@ -13,6 +13,8 @@ the count is read off the two signatures.
    parts that aren't connected yet are looked for and sent on; each document
    bucket links its own documents first and sends all that differ, with their
    part: a document of another bucket may match any one of a part alone.
+   A list's own postings are merged by counting collisions, the longest lists of
+   a document being skipped and read off the signatures.
 3. In a cluster, Jaccard similarity is computed on the full sets. Clusters over
    BLOCK documents are split into blocks that share a few hubs; what isn't
    connected to the largest part after that is compared with all of the cluster.
@@ -28,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, class_table, lower_table, materialise, mix, random64, shingles, text_chunks, word_bounds
-from .components import components
+from .common import WordHasher, class_table, lower_table, materialise, mix, random64, shingles, text_chunks, whole_numbers, word_bounds
+from .components import components, join_hot
 from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, cut, decode, encode
 
 COORDINATES = 64
 #: Counters of how popular postings are; they set the order of postings, not the result.
-CELLS = 1 << 16
+CELL_BITS = 14
+CELLS = 1 << CELL_BITS
 #: Documents of a cluster in one task; hubs that its blocks share.
-BLOCK, HUBS = 512, 8
+BLOCK, HUBS = 2048, 8
+#: Documents of a list up to which all collisions are counted at once, without prefixes.
+SHORT = 48
 TOKEN, SHARED, POSTING, EDGE = range(1, 5)
 
 
@@ -126,7 +131,7 @@ def popularity(reps: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            total += np.bincount((tokens(matrix(batch.column(0).to_pylist())) >> np.uint64(48)).astype(np.int64).ravel(), minlength=CELLS)
+            total += np.bincount((tokens(matrix(batch.column(0).to_pylist())) >> np.uint64(64 - CELL_BITS)).astype(np.int64).ravel(), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(total)], names=["cell", "n"])
 
     rows = reps.select("sig").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
@@ -160,7 +165,7 @@ class Bucket:
         order = np.argsort(self.ids, kind="stable")
         self.ids, self.size, self.sig = self.ids[order], self.size[order], sig.reshape(-1, COORDINATES)[order]
         every = tokens(self.sig)
-        rarity = (popular[(every >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (every & np.uint64(0xFFFFFF))
+        rarity = (popular[(every >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (every & np.uint64(0xFFFFFF))
         kept = np.take_along_axis(every, np.argsort(rarity, axis=1, kind="stable")[:, :prefix], 1)
         token, row = kept.ravel(), np.repeat(np.arange(len(self.ids)), prefix)
         order = np.lexsort((row, token))
@@ -169,19 +174,48 @@ class Bucket:
         self.bounds = np.append(self.first, len(self.token))
 
 
+def prefix_lists(sig: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """The rows of each posting that two or more rows have among their rarest ones; any two rows with enough collisions share one."""
+    n = len(sig)
+    keys = tokens(sig).ravel()
+    _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+    at = at.reshape(n, -1)
+    order = np.argsort((count[at] << 32) | at, axis=1, kind="stable")[:, : COORDINATES - least_matches(threshold) + 1]
+    token, row = np.take_along_axis(at, order, 1).ravel(), np.repeat(np.arange(n), order.shape[1])
+    order = np.lexsort((row, token))
+    token, row = token[order], row[order]
+    bounds = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+    long = np.flatnonzero(np.diff(bounds) > 1)
+    return [row[bounds[k] : bounds[k + 1]] for k in long[np.argsort(np.diff(bounds)[long], kind="stable")].tolist()]
+
+
 def link(ids: np.ndarray, size: np.ndarray, sig: np.ndarray, threshold: int, known: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(part of each document of a list, links that make the parts). A pair is compared only if not yet in one part; known: parts to begin with."""
+    """(part of each document of a list, links that make the parts); known: parts to begin with.
+
+    A pair is counted only if not yet in one part. In a list of more than SHORT
+    documents only those that share a prefix posting are; the collisions in the
+    postings that were skipped are read off the two signatures.
+    """
     part = np.arange(len(ids)) if known is None else known.copy()
     edges, matches = [], least_matches(threshold)
-    for i in range(len(ids)):
-        other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-        if not len(other):
-            continue
-        near = other[np.minimum(size[other], size[i]) * 100 >= threshold * np.maximum(size[other], size[i])]
-        for j in near[(sig[near] == sig[i]).sum(1) >= matches].tolist():
-            if part[j] != part[i]:
-                edges.append((int(ids[i]), int(ids[j])))
-                part[part == part[j]] = part[i]
+
+    def count(rows: np.ndarray) -> None:
+        for k, i in enumerate(rows[:-1].tolist()):
+            other = rows[k + 1 :]
+            other = other[part[other] != part[i]]
+            if not len(other):
+                continue
+            near = other[np.minimum(size[other], size[i]) * 100 >= threshold * np.maximum(size[other], size[i])]
+            for j in near[(sig[near] == sig[i]).sum(1) >= matches].tolist():
+                if part[j] != part[i]:
+                    edges.append((int(ids[i]), int(ids[j])))
+                    part[part == part[j]] = part[i]
+
+    if len(ids) <= SHORT:
+        count(np.arange(len(ids)))
+    else:
+        for rows in prefix_lists(sig, threshold):
+            count(rows)
     return part, edges
 
 
@@ -323,7 +357,7 @@ def confirmed(grouped: DataFrame, keys: list[str], threshold: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(cluster, doc_id, full): the sets of the members, out of their texts."""
+    """(cluster, doc_id, full): the sets of the members, out of their texts; a document of several texts has a row for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
@@ -334,10 +368,10 @@ def full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size:
                 right = (high == batch.column(2)[first:end].to_numpy()) & (low == batch.column(3)[first:end].to_numpy())
                 at = pa.array(np.flatnonzero(right))
                 full = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(right).tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end].take(at), batch.column(1)[first:end].take(at), pa.array(full, pa.binary())], names=["cluster", "doc_id", "full"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[first:end].take(at) for i in range(4)), pa.array(full, pa.binary())], names=["cluster", "doc_id", "hi", "lo", "full"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    return texts.join(members.hint("shuffle_hash"), "node").select("cluster", F.col("node").alias("doc_id"), "hi", "lo", "text").mapInArrow(run, "cluster long, doc_id long, full binary").dropDuplicates(["doc_id"])
+    return texts.join(members.hint("shuffle_hash"), "node").select("cluster", F.col("node").alias("doc_id"), "hi", "lo", "text").mapInArrow(run, "cluster long, doc_id long, hi long, lo long, full binary").dropDuplicates(["doc_id", "hi", "lo"]).drop("hi", "lo")
 
 
 def upto(count: str) -> Column:
@@ -345,7 +379,7 @@ def upto(count: str) -> Column:
 
 
 def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int, threshold: int) -> DataFrame:
-    """(node, component) of the classes that have a confirmed link."""
+    """(a, b): confirmed links that connect the classes; a class goes by its smallest document."""
     clusters = components(candidates(reps, threshold))
     members = clusters.select("node", F.col("component").alias("cluster")).join(reps.select(F.col("doc_id").alias("node"), "hi", "lo"), "node")
     sets = materialise(full_sets(docs, members, doc_id, text, size), "sets")
@@ -353,26 +387,33 @@ def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int, t
     sized = sets.join(counts, "cluster")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     # the hubs of a large cluster, by minima over slices of a hash, are in all of its blocks
-    large = sized.where("blocks > 1").select("cluster", "doc_id", "blocks")
+    large = sized.where("blocks > 1").select("cluster", "doc_id", "blocks").distinct()
     hubs = large.groupBy("cluster", F.pmod(F.hash("doc_id"), F.lit(HUBS)).alias("slice")).agg(F.min("doc_id").alias("doc_id")).select("cluster", "doc_id")
     spread = sized.join(hubs, ["cluster", "doc_id"]).select("cluster", F.explode(upto("blocks")).alias("block"), F.lit(True).alias("lead"), "doc_id", "full")
     own = sized.select("cluster", block.cast("long").alias("block"), F.lit(False).alias("lead"), "doc_id", "full")
     found = materialise(confirmed(own.join(hubs.select("cluster", "doc_id"), ["cluster", "doc_id"], "left_anti").select(spread.columns).unionByName(spread), ["cluster", "block"], threshold), "links")
     if large.isEmpty():
-        return components(found)
+        return found
     parts = components(found)
     placed = materialise(large.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).select("cluster", "doc_id", "blocks", "part"), "parts")
     main = placed.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
     rest = placed.join(main, "cluster").where("part <> main").select("cluster", "doc_id", "blocks")
     chunks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     if chunks.isEmpty():
-        return parts
+        return found
     rest = rest.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("long"))
     left = sets.join(rest.select("doc_id", "blocks", "chunk"), "doc_id").select("cluster", F.explode(upto("blocks")).alias("block"), "chunk", F.lit(True).alias("lead"), "doc_id", "full")
     right = sized.join(chunks, "cluster").select("cluster", block.cast("long").alias("block"), F.explode(upto("chunks")).alias("chunk"), F.lit(False).alias("lead"), "doc_id", "full")
     right = right.join(rest.select("doc_id", F.col("chunk").alias("own")), "doc_id", "left").where("own is null or own <> chunk").select(left.columns)
     more = confirmed(left.unionByName(right), ["cluster", "block", "chunk"], threshold)
-    return components(found.unionByName(more))
+    return found.unionByName(more)
+
+
+def same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): a document whose rows differ, with the smallest document of each class that they are in."""
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("a"), F.max(F.struct("hi", "lo")).alias("b")).where("a <> b").select("doc_id")
+    own = rows.where("n > 0").select("doc_id", "hi", "lo", "n").join(several, "doc_id", "left_semi").distinct()
+    return own.select(F.col("doc_id").alias("a"), "hi", "lo", "n").join(classes.select("hi", "lo", "n", F.col("doc_id").alias("b")), ["hi", "lo", "n"]).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, threshold: int = 85) -> DataFrame:
@@ -380,27 +421,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents link if 100 * intersection >= threshold * union of their sets of
     size-word shingles. Texts without words (or null) are linked with nothing.
-    Rows without an id take no part: component null, kept. Repeated rows have the
-    same component, and all are kept or none. Other columns are ignored.
+    Rows of one id are one document: if their texts differ, it links with what any
+    of them links with, and all its rows have one component. Rows without an id
+    take no part: component null, kept. Ids that aren't whole numbers are an error.
+    Other columns are ignored.
     """
+    whole_numbers(docs, doc_id)
     sigs = materialise(signatures(docs, doc_id, text, size), "signatures")
     some = sigs.where("n > 0 and doc_id is not null")
-    classes = materialise(some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("hi", "lo", "n", "x.doc_id", "x.sig"), "classes")
+    classes = materialise(some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("weight")).select("hi", "lo", "n", "x.doc_id", "x.sig", "weight"), "classes")
     # a proper subset of at least threshold percent has this many elements or more
     least = -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 62
-    linked = links(docs, classes.where(F.col("n") >= least), doc_id, text, size, threshold)
-    named = classes.join(linked, F.col("doc_id") == F.col("node"), "left").select("hi", "lo", "n", F.coalesce("component", "doc_id").alias("component"))
-    out = sigs.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = links(docs, classes.where(F.col("n") >= least), doc_id, text, size, threshold)
+    linked = components(found.unionByName(same_document(sigs.where("doc_id is not null"), classes)))
+    named = classes.join(linked, F.col("doc_id") == F.col("node"), "left").select("hi", "lo", "n", F.coalesce("component", "doc_id").alias("component"), "weight")
+    total = classes.agg(F.sum("weight")).first()[0] or 0
+    rows = join_hot(some.select("doc_id", "n", "hi", "lo"), named, ["hi", "lo", "n"], "weight", total).select("doc_id", "n", "component")
+    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "n").join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    out = rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
-    """The documents with the smallest id of each component, one row for each id; rows without an id stay."""
-    gone = near_duplicates(docs, doc_id, text, size, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
-    named = kept.where(F.col(doc_id).isNotNull())
-    return named.dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    """The document with the smallest id of each component: all its texts, each once. Rows without an id stay."""
+    marked = materialise(near_duplicates(docs, doc_id, text, size, threshold).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    gone = marked.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    again = marked.where("kept").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    if again.isEmpty():
+        return kept
+    same = F.col(doc_id) == F.col("__again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ def brute(rows, size=3, threshold=85):
     for i, (d, a) in enumerate(sets):
         for j in range(i):
             e, b = sets[j]
+            if d is not None and d == e:  # rows of one id are one document
+                parent[root(i)] = root(j)
             if None not in (d, e) and a and b and 100 * len(a & b) >= threshold * len(a | b):
                 parent[root(i)] = root(j)
     least = {}
@@ -84,6 +86,57 @@ def test_edge_rows(spark):
     assert result(spark, []) == []
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    assert result(spark, [(1, a), (1, b), (2, b + " x"), (3, a + " x")]) == [(1, 38, 1, True)] * 2 + [(2, 39, 1, False), (3, 39, 1, False)]
+    rows = [(5, a), (5, b), (2, a + " y"), (7, b + " z"), (7, c), (9, c), (5, None), (9, ""), (11, c + " u v w"), (11, "one two")]
+    assert result(spark, rows) == brute(rows)
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("x", a)], "doc_id string, text string"))
+
+
+def test_planted_pairs_are_found(spark):
+    """Recall from texts to links, at the threshold and a little above it."""
+    rnd = random.Random(12)
+    rows, exact = [], []
+    for k in range(250):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(205)]
+        v = w[:]
+        at = rnd.randrange(3, 180)
+        n = rnd.choice([4, 9, 14])  # J of 0.94, 0.90 and 0.854
+        v[at : at + n] = [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        exact.append(len(shingle_set(rows[-1][1], 3) & shingle_set(rows[-2][1], 3)) * 100 >= 85 * len(shingle_set(rows[-1][1], 3) | shingle_set(rows[-2][1], 3)))
+    got = {r[0]: r[2] for r in result(spark, rows)}
+    assert all(exact) and all(got[2 * k + 1] == 2 * k for k in range(250))
+
+
+def test_long_lists_count_collisions_by_prefix():
+    """Documents that share one posting and little else: parts are those of counting all pairs."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 1 << 31, (300, minhash_dedup.COORDINATES)).astype(np.uint32)
+    for i in range(100, 200):  # near copies, some in chains
+        sig[i] = sig[i - 100 if i % 3 else i - 1]
+        sig[i, rng.permutation(64)[: rng.integers(0, 30)]] += 1
+    sig[:, 0] = 7
+    ids, size = np.arange(300), np.full(300, 90)
+    part, edges = minhash_dedup.link(ids, size, sig, 85)
+    plain = np.arange(300)
+    for i in range(300):
+        for j in range(i):
+            if (sig[i] == sig[j]).sum() >= minhash_dedup.least_matches(85):
+                plain[plain == plain[i]] = plain[j]
+    assert all((part == part[i]).tolist() == (plain == plain[i]).tolist() for i in range(300))
+    assert sum(len(x) * (len(x) - 1) // 2 for x in minhash_dedup.prefix_lists(sig, 85)) < 300 * 299 / 4
+
+
+def test_keep_one_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "quite another text of its own"), (1, text), (4, text + " x"), (6, None), (6, None)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "quite another text of its own"), (1, text), (6, "")]
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text, "a"), (2, text + " x", "b"), (2, text + " x", "b"), (9, None, "c"), (None, text, "d"), (11, "other words here", None)]
@@ -93,6 +146,12 @@ def test_keep_one(spark):
     assert sorted((str(r.doc_id) for r in out.collect())) == ["11", "2", "9", "None"]
 
 
+def test_components_that_do_not_end_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(4)
+    with pytest.raises(RuntimeError):
+        components(edges, most_rounds=0)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -109,7 +168,7 @@ def test_a_part_meets_other_buckets_with_all_its_members():
     popular = np.zeros(minhash_dedup.CELLS, np.int64)
     for at, n in ((slice(18, 36), 1000), (slice(0, 18), 2000)):
         for sig in (x, y, z):
-            popular[(minhash_dedup.tokens(sig[None])[0, at] >> np.uint64(48)).astype(np.int64)] = n
+            popular[(minhash_dedup.tokens(sig[None])[0, at] >> np.uint64(64 - minhash_dedup.CELL_BITS)).astype(np.int64)] = n
     block = lambda *rows: [minhash_dedup.encode(np.array([i for i, _ in rows], np.int64), np.full(len(rows), 50, np.int64), np.concatenate([sig for _, sig in rows]))]
     dealt = {0: block((1, x), (2, y)), 1: block((3, z))}
     own = {b: minhash_dedup.Bucket(blocks, popular, 80) for b, blocks in dealt.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import joins, ordered, summaries, values  # noqa: F401  they register their queries
+from .plans import fields, joins, ordered, summaries, values  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "hist_suppressed"

@@ -52,3 +52,17 @@ def calibration_error(df: DataFrame, confidence: Column, right: Column, bins: in
     at = F.least(F.lit(bins - 1), F.floor(confidence * bins)).cast("long")
     by = df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.when(right, 1.0).otherwise(0.0)).alias("acc"))
     return by.agg(F.round(F.sum(F.abs(F.col("acc") - (F.col("bin") + 0.5) / bins) * F.col("n")) / F.sum("n"), 6).alias("ece"))
+
+
+# The share and the number of blue regions that make a page's pen blue.
+BLUE_SHARE, BLUE_LEAST = 0.15, 3
+
+
+def pen(blue: Column) -> Column:
+    """The pen of a page whose regions hold blue ink or not."""
+    return F.when(F.count_if(blue) >= F.greatest(F.lit(BLUE_LEAST), F.count("*") * BLUE_SHARE), "blue").otherwise("dark")
+
+
+def nested_size(items: Column) -> Column:
+    """Sum of the sizes of lists, one for a row that has none."""
+    return F.sum(F.when(items.isNull(), 1).otherwise(F.size(items)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import VISITS
+from .rules import VISITS, field_map
 from .status import ABSENT, KNOWN
 
 
@@ -22,9 +22,10 @@ def wide(values: DataFrame) -> DataFrame:
     """
     trusted = (F.col("status") == KNOWN) & F.coalesce("valid", F.lit(True))
     m = values.groupBy("record_id").agg(
-        F.map_from_entries(F.collect_list(F.when(trusted, F.struct("field_id", F.struct(F.col("value_str").alias("text"), F.col("value_num").alias("number"), F.col("value_bool").alias("tick")))))).alias("v"),
+        F.collect_list(F.when(trusted & F.col("field_id").isNotNull(), F.struct("field_id", F.struct(F.col("value_str").alias("text"), F.col("value_num").alias("number"), F.col("value_bool").alias("tick")).alias("own")))).alias("xs"),
         F.max(F.when(F.col("field_id") == "ob_abortion_n", F.col("status"))).alias("abortion_status"),
     )
+    m = m.withColumn("v", field_map("xs"))
     at = lambda f: F.col("v")[f]
     text = lambda f: F.lower(F.nullif(at(f)["text"], F.lit("")))
     num, tick = (lambda f: at(f)["number"]), (lambda f: at(f)["tick"])

@@ -1,8 +1,9 @@
 """Record linkage: a scored fuzzy join with blocking that loses no candidate.
 
 Points are whole numbers (hundredths), so that sums meet the threshold exactly.
-A pair over the threshold shares a code within two edits, or one of its dates
-lies within ten days; each of the three makes blocking keys of its own.
+A pair over the threshold shares a code within two edits, or enough else: its due
+dates within ten days and with them age or period, or its periods, ages and
+places. Each of the four makes blocking keys of its own.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ def points(left: str = "a", right: str = "b") -> Column:
     col = lambda name: (F.col(f"{left}.{name}"), F.col(f"{right}.{name}"))
     x, y = (code_key(c) for c in col("code"))
     edits = F.levenshtein(x, y, 2)
-    code = F.when(x == y, CODE_SAME).when(edits == 1, CODE_ONE).when(edits == 2, CODE_TWO).otherwise(0)
+    there = (col("code")[0] != "") & (col("code")[1] != "")
+    code = F.when(there & (x == y), CODE_SAME).when(there & (edits == 1), CODE_ONE).when(there & (edits == 2), CODE_TWO).otherwise(0)
     years = F.abs(col("age")[0] - col("age")[1])
     age = F.when(years <= 1, AGE_NEAR).when(years > 3, AGE_FAR).otherwise(0)
-    place = F.when(F.lower(col("place")[0]) == F.lower(col("place")[1]), PLACE).otherwise(0)
+    place = F.when((col("place")[0] != "") & (F.lower(col("place")[0]) == F.lower(col("place")[1])), PLACE).otherwise(0)
     total = code + age + place + date_points(*col("due"), DUE_NEAR) + date_points(*col("period"), PERIOD_NEAR)
     return F.greatest(F.least(total, F.lit(100)), F.lit(0))
 
@@ -49,19 +51,20 @@ def deletions(key: Column) -> Column:
 
 
 def blocks(records: DataFrame, neighbours: bool) -> DataFrame:
-    """(block, id): keys of a record; dates take their cell, and for one side of the join those beside it."""
-    cell = lambda name: F.floor(F.unix_date(F.col(name)) / (NEAR_DAYS + 1))
-    reach = F.array(F.lit(-1), F.lit(0), F.lit(1)) if neighbours else F.array(F.lit(0))
-    keys = [around(n, cell(n), reach) for n in ("due", "period")]
-    codes = F.transform(deletions(code_key(F.col("code"))), lambda k: F.concat(F.lit("code:"), k))
-    every = F.concat(*(F.coalesce(k, F.array().cast("array<string>")) for k in (codes, *keys)))
+    """(block, id): keys of a record; dates and ages take their cell, and for one side of the join those beside it."""
+    reach = [-1, 0, 1] if neighbours else [0]
+    day = lambda name: F.floor(F.unix_date(F.col(name)) / (NEAR_DAYS + 1))
+    due, period, age = day("due"), day("period"), F.floor(F.col("age") / 2)
+    text = lambda c, d: (c + d).cast("string")
+    pairs = [(x, y) for x in reach for y in reach]
+    keys = [F.concat(F.lit("due+age:"), text(due, x), F.lit(":"), text(age, y)) for x, y in pairs]
+    keys += [F.concat(F.lit("due+period:"), text(due, x), F.lit(":"), text(period, y)) for x, y in pairs]
+    keys += [F.concat(F.lit("period+age+place:"), text(period, x), F.lit(":"), text(age, y), F.lit(":"), F.lower("place")) for x, y in pairs]
+    codes = F.when(F.col("code") != "", F.transform(deletions(code_key(F.col("code"))), lambda k: F.concat(F.lit("code:"), k)))
+    every = F.concat(F.coalesce(codes, F.array().cast("array<string>")), F.array(*keys))
     return records.select(F.explode(F.array_distinct(F.filter(every, lambda k: k.isNotNull()))).alias("block"), "id")
 
 
-def around(name: str, cell: Column, reach: Column) -> Column:
-    return F.transform(reach, lambda d: F.concat(F.lit(f"{name}:"), (cell + d).cast("string")))
-
-
 def candidates(probes: DataFrame, known: DataFrame, best: int = BEST) -> DataFrame:
     """(probe, id, score, rank): for each probe the best known records at the threshold or over; ties go to the smaller id."""
     left = blocks(probes, True).withColumnRenamed("id", "probe")
@@ -73,12 +76,14 @@ def candidates(probes: DataFrame, known: DataFrame, best: int = BEST) -> DataFra
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """class of each new value: added, changed or same."""
+    """class of each new value that is there: added (also where the old one is null), changed or same."""
     joined = new.select(key, F.col(value).alias("new")).where("new is not null").join(old.select(key, F.col(value).alias("old")), key, "left")
     return joined.withColumn("class", F.when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed").otherwise("same"))
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, value: str, accepted: Column) -> DataFrame:
-    """Old values, replaced where accepted and filled where they are missing."""
-    joined = old.select(key, F.col(value).alias("old")).join(new.select(key, F.col(value).alias("new")), key, "full_outer")
-    return joined.select(key, F.when(accepted & F.col("new").isNotNull(), F.col("new")).otherwise(F.coalesce("old", "new")).alias("merged"))
+    """Old fields, replaced where a new one is accepted; fields that never existed come from the new ones. An old null stays."""
+    a = old.select(key, F.col(value).alias("old"), F.lit(True).alias("was"))
+    b = new.select(key, F.col(value).alias("new"), F.lit(True).alias("is"))
+    take = (accepted & F.col("is")) | F.col("was").isNull()
+    return a.join(b, key, "full_outer").select(key, F.when(take, F.col("new")).otherwise(F.col("old")).alias("merged"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .status import ABSENT, KNOWN, NA, OUTSIDE, REVIEW
 
-# Visits in order, exclusive tick groups, and what a false tick makes not applicable.
+# Visits in order, exclusive tick groups, what a false tick makes not applicable, and the notes of findings().
 VISITS = ("t1v1", "t1v2", "t1v3", "t2v1", "t2v2", "t2v3", "m7", "m8", "m9")
 EXCLUSIVE = (
     ("nb_alive", "nb_stillborn", "nb_death24"),
@@ -33,9 +33,17 @@ FLAG, BOOST, MARK = "flag", "boost", "na"
 
 
 def snapshot(values: DataFrame) -> DataFrame:
-    """(record_id, v): a map from field to (text, number, tick)."""
+    """(record_id, v): a map from field to (text, number, tick); of several rows of a field the largest counts, and none without a field."""
     own = F.struct(F.col("value_str").alias("text"), F.col("value_num").alias("number"), F.col("value_bool").alias("tick"))
-    return values.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", own))).alias("v"))
+    listed = values.groupBy("record_id").agg(F.collect_list(F.when(F.col("field_id").isNotNull(), F.struct("field_id", own.alias("own")))).alias("xs"))
+    return listed.select("record_id", field_map("xs").alias("v"))
+
+
+def field_map(entries: str) -> Column:
+    """An array of (field_id, own) as a map, with the largest entry of each field."""
+    ordered = F.reverse(F.array_sort(entries))
+    first = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["field_id"] != x["field_id"]), x)), lambda x: x.isNotNull())
+    return F.map_from_entries(first)
 
 
 def findings() -> Column:
@@ -83,7 +91,7 @@ def consistent(values: DataFrame) -> DataFrame:
     """The values with status, confidence and note as the rules leave them."""
     found = snapshot(values).select("record_id", F.inline(findings()))
     said = found.groupBy("record_id", "field_id").agg(F.max("action").alias("action"), F.max("why").alias("why"))
-    j = values.join(said, ["record_id", "field_id"], "left")
+    j = values.join(said, ["record_id", "field_id"], "left")  # a row without a record or field has nothing said
     read = F.col("source").isin(*READ)
     note = F.coalesce("note", F.lit(""))
     filled = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"), F.col("value_bool").cast("string")).isNotNull()

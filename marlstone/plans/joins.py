@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import linkage, spatial, status
+from ..operators.nearest import nearest
 from .registry import Tables, query
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 0) AS v, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 0) AS v, count(*) AS n FROM supplier GROUP BY 1),
-l AS (SELECT k, v, CASE WHEN n >= 55 THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END AS s, CASE WHEN n >= 55 THEN 0.85 ELSE 0.6 END AS c FROM a), r AS (SELECT k, v, CASE WHEN n >= 4 THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS s, 0.75 AS c FROM b),
-j AS (SELECT coalesce(l.k, r.k) AS k, l.v AS lv, l.s AS ls, l.c AS lc, r.v AS rv, r.s AS rs, r.c AS rc, l.s IS NULL OR r.s IS NULL AS one, (l.s = r.s OR (l.s IN ('KNOWN', 'NEEDS_REVIEW') AND r.s IN ('KNOWN', 'NEEDS_REVIEW'))) AND l.v IS NOT DISTINCT FROM r.v AS same FROM l FULL JOIN r ON l.k = r.k),
-q AS (SELECT *, CASE WHEN one THEN coalesce(lc, rc) WHEN same THEN 1 - (1 - lc) * (1 - rc) WHEN ls = 'KNOWN' AND lc >= 0.8 THEN least(rc, 0.55) ELSE rc END AS c FROM j)
-SELECT k, CASE WHEN one THEN coalesce(lv, rv) ELSE rv END AS value, CASE WHEN one THEN coalesce(ls, rs) WHEN same THEN CASE WHEN rs = 'NEEDS_REVIEW' AND c >= 0.85 THEN 'KNOWN' ELSE rs END WHEN ls = 'KNOWN' AND lc >= 0.8 THEN 'NEEDS_REVIEW' ELSE rs END AS status,
-round(c::DOUBLE, 3) AS confidence, CASE WHEN one THEN CASE WHEN rs IS NULL THEN 'local' ELSE 'remote' END WHEN same THEN 'ensemble' ELSE 'remote' END AS source FROM q""")
+FOLDED = "translate(lower(strip_accents(v)), ' ''-.,', '')"
+
+
+@query(f"""WITH l AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS v, CASE c_custkey % 3 WHEN 0 THEN 'KNOWN' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_PROVIDED' END AS s, round(0.5 + c_custkey % 47 / 100.0, 2)::DOUBLE AS c, 'ai_local' AS src, '' AS n FROM customer WHERE c_custkey % 5 <> 0),
+r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 OR c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN lower(left(c_mktsegment, 3)) || '- ' || substr(c_mktsegment, 4) || '.' WHEN c_custkey % 7 = 0 THEN 'other' ELSE c_mktsegment END AS v, CASE WHEN c_custkey % 4 = 0 THEN 'NOT_PROVIDED' WHEN c_custkey % 4 = 1 THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END AS s, round(0.5 + c_custkey % 41 / 100.0, 2)::DOUBLE AS c, (1 + c_custkey % 3)::INT AS i, 'ai' AS src, CASE WHEN c_custkey % 10 = 3 THEN 'valeur hors plage' ELSE '' END AS n FROM customer WHERE c_custkey % 7 <> 1),
+j AS (SELECT coalesce(l.k, r.k) AS k, l.k IS NULL AS nol, r.k IS NULL AS nor, l.v AS lv, l.s AS ls, l.c AS lc, l.src AS lsrc, l.n AS ln, r.v AS rv, r.s AS rs, r.c AS rc, r.src AS rsrc, r.n AS rn, r.i, (l.s = r.s OR (l.s IN ('KNOWN', 'NEEDS_REVIEW') AND r.s IN ('KNOWN', 'NEEDS_REVIEW'))) AND ({FOLDED.replace("(v)", "(l.v)")} IS NOT DISTINCT FROM {FOLDED.replace("(v)", "(r.v)")}) AS same, round(greatest(r.c, 1 - (1 - r.c) * (1 - l.c)), 3) AS joint FROM l FULL JOIN r ON l.k = r.k),
+q AS (SELECT *, NOT nol AND NOT nor AND same AND rs = 'NEEDS_REVIEW' AND joint >= CASE i WHEN 1 THEN 0.8 WHEN 2 THEN 0.85 ELSE 0.92 END AND rv IS NOT NULL AND position('hors' IN rn) = 0 AS up, NOT nol AND NOT nor AND NOT same AND lc >= 0.8 AND ls = 'KNOWN' AS against FROM j)
+SELECT k, CASE WHEN nor THEN lv ELSE rv END AS value, CASE WHEN nor THEN ls WHEN nol THEN rs WHEN up THEN 'KNOWN' WHEN against THEN 'NEEDS_REVIEW' ELSE rs END AS status, CASE WHEN nor THEN lc WHEN nol THEN rc WHEN same THEN joint WHEN against THEN least(rc, 0.55) ELSE rc END AS confidence,
+CASE WHEN nor THEN lsrc WHEN nol THEN rsrc WHEN same THEN 'ai_ensemble' ELSE rsrc END AS source, CASE WHEN nor THEN ln WHEN nol THEN rn WHEN up THEN 'deux lectures concordantes' WHEN against THEN 'lectures divergentes : « ' || coalesce(rv, 'None') || ' » / « ' || coalesce(lv, 'None') || ' »' ELSE rn END AS note, CASE WHEN against THEN coalesce(rv, '-') || '|' || coalesce(lv, '-') END AS candidates FROM q""")
 def fuse_full_outer(t: Tables) -> DataFrame:
-    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 0).alias("value"), F.count("*").alias("n"))
-    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 0).alias("value"), F.count("*").alias("n"))
-    sure = F.col("n") >= 55
-    local = a.select("k", "value", F.when(sure, "KNOWN").otherwise("NEEDS_REVIEW").alias("status"), F.when(sure, 0.85).otherwise(0.6).alias("confidence"), F.lit(2).alias("importance"))
-    remote = b.select("k", "value", F.when(F.col("n") >= 4, "KNOWN").otherwise("NOT_PROVIDED").alias("status"), F.lit(0.75).alias("confidence"), F.lit(2).alias("importance"))
-    return status.fuse(local, remote, ["k"])
+    """Two readings of each customer's segment, some in another spelling, some null, some out of range."""
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    share = lambda n: F.round(k % n / 100 + 0.5, 2)
+    local = t.customer.where("c_custkey % 5 <> 0").select(k.alias("k"), F.when(k % 11 != 0, seg).alias("value"), F.when(k % 3 == 0, "KNOWN").when(k % 3 == 1, "NEEDS_REVIEW").otherwise("NOT_PROVIDED").alias("status"), share(47).alias("confidence"), (k % 3 + 1).alias("importance"), F.lit("ai_local").alias("source"), F.lit("").alias("note"))
+    other = F.concat(F.lower(F.substring(seg, 1, 3)), F.lit("- "), F.substring(seg, 4, 99), F.lit("."))
+    value = F.when((k % 13 == 0) | (k % 11 == 0), None).when(k % 2 == 0, other).when(k % 7 == 0, "other").otherwise(seg)
+    remote = t.customer.where("c_custkey % 7 <> 1").select(k.alias("k"), value.alias("value"), F.when(k % 4 == 0, "NOT_PROVIDED").when(k % 4 == 1, "KNOWN").otherwise("NEEDS_REVIEW").alias("status"), share(41).alias("confidence"), (k % 3 + 1).alias("importance"), F.lit("ai").alias("source"), F.when(k % 10 == 3, "valeur hors plage").otherwise("").alias("note"))
+    both = status.fuse(local, remote, ["k"])
+    return both.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.coalesce(c, F.lit("-"))), "|"))
 
 
 @query("""WITH old AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.v IS NULL THEN 'kept' WHEN o.v IS NULL THEN 'added' WHEN o.v <> n.v THEN 'changed' ELSE 'same' END AS class, CASE WHEN coalesce(o.k, n.k) % 8 = 0 AND n.v IS NOT NULL THEN n.v ELSE coalesce(o.v, n.v) END AS merged FROM old o FULL JOIN new n ON o.k = n.k""")
+SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.v IS NULL THEN 'kept' WHEN o.v IS NULL THEN 'added' WHEN o.v <> n.v THEN 'changed' ELSE 'same' END AS class, CASE WHEN n.k IS NOT NULL AND (n.k % 8 = 0 OR o.k IS NULL) THEN n.v ELSE o.v END AS merged FROM old o FULL JOIN new n ON o.k = n.k""")
 def diff_merge(t: Tables) -> DataFrame:
     key, price = F.col("o_orderkey").alias("k"), F.col("o_totalprice")
     old = t.orders.where("o_orderkey % 5 <> 0").select(key, F.when(F.col("o_orderkey") % 7 != 0, price).alias("v"))
@@ -83,11 +91,11 @@ def records(t: Tables) -> DataFrame:
 CASE WHEN replace(a.code, '-', '') = replace(b.code, '-', '') THEN 70 WHEN levenshtein(replace(a.code, '-', ''), replace(b.code, '-', '')) = 1 THEN 35 WHEN levenshtein(replace(a.code, '-', ''), replace(b.code, '-', '')) = 2 THEN 25 ELSE 0 END
 + CASE WHEN abs(a.age - b.age) <= 1 THEN 10 WHEN abs(a.age - b.age) > 3 THEN -20 ELSE 0 END + CASE WHEN lower(a.place) = lower(b.place) THEN 8 ELSE 0 END
 + CASE WHEN abs(date_diff('day', a.due, b.due)) <= 10 THEN 25 WHEN abs(date_diff('day', a.due, b.due)) > 60 THEN -10 ELSE 0 END + CASE WHEN abs(date_diff('day', a.period, b.period)) <= 10 THEN 20 WHEN abs(date_diff('day', a.period, b.period)) > 60 THEN -10 ELSE 0 END))::BIGINT AS score
-FROM r a JOIN r b ON a.id <> b.id AND a.id % 40 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM s WHERE score >= 35) SELECT * FROM k WHERE rank <= 3""")
+FROM r a JOIN r b ON a.id <> b.id AND a.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM s WHERE score >= 35) SELECT * FROM k WHERE rank <= 3""")
 def fuzzy_candidates(t: Tables) -> DataFrame:
-    """Probes are the stated query set; every record is a possible match."""
+    """Probes are the records whose id is divisible by 20; every record is a possible match."""
     known = records(t)
-    return linkage.candidates(known.where("id % 40 = 0"), known)
+    return linkage.candidates(known.where("id % 20 = 0"), known)
 
 
 LABELS = "SELECT p_brand AS page, p_partkey AS label, (p_partkey * 7 % 400)::DOUBLE AS x, (p_partkey * 11 % 600)::DOUBLE AS y FROM part WHERE p_size <= 25"
@@ -134,26 +142,37 @@ def line_clusters(t: Tables) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT probe, vec_id, round(list_distance(a, embedding::DOUBLE[]), 4) AS distance FROM q JOIN embeddings ON vec_id <> probe), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, vec_id) AS rank FROM s)
 SELECT a.probe, a.vec_id, a.distance, round(a.distance / b.distance, 4) < 0.75 AS good FROM k a JOIN k b ON a.probe = b.probe AND a.rank = 1 AND b.rank = 2""")
 def knn_top2(t: Tables) -> DataFrame:
-    """The nearest two of every vector of a stated query set, and the ratio test between them."""
-    probes = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("a"))
-    blocks = t.embeddings.join(probes, F.col("vec_id") != F.col("probe"))
-    distance = F.round(F.sqrt(F.aggregate(F.zip_with("a", "embedding", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)), 4)
-    s = blocks.select("probe", F.struct(distance.alias("distance"), "vec_id").alias("x"))
-    first = s.groupBy("probe").agg(F.min("x").alias("first"))
-    second = s.join(first, "probe").where(F.col("x") != F.col("first")).groupBy("probe", "first").agg(F.min("x").alias("second"))
-    return second.select("probe", "first.vec_id", "first.distance", (F.round(F.col("first.distance") / F.col("second.distance"), 4) < 0.75).alias("good"))
+    """The nearest two of every vector whose id is divisible by 20, and the ratio test between them."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = nearest(vectors.where("id % 20 = 0"), vectors)
+    two = near.groupBy("probe").agg(F.min_by(F.struct("id", "distance"), "rank").alias("first"), F.max_by("distance", "rank").alias("second"), F.count("*").alias("n")).where("n = 2")
+    return two.select("probe", F.col("first.id").alias("vec_id"), "first.distance", (F.round(F.col("first.distance") / F.col("second"), 4) < 0.75).alias("good"))
+
+
+LEAST = 8
 
 
 @query("""WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS v FROM benchmark), s AS (SELECT doc_id, item_id, len(list_intersect(w, v)) AS n FROM d, b)
 SELECT doc_id, arg_max(item_id, (n, -item_id)) AS item_id, max(n)::BIGINT AS n FROM s WHERE n >= 8 GROUP BY doc_id""")
 def shared_words(t: Tables) -> DataFrame:
-    """The template with most words in common, eight at least: an equi-join on words, counted for each pair that shares one."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    n = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where("n >= 8")
+    """The template with most words in common, LEAST at least.
+
+    A document that shares so many words with an item has one of those that are
+    left without the item's LEAST - 1 commonest (prefix), so the commonest words
+    meet nothing; the pairs that remain are counted exactly.
+    """
+    sets = lambda df, key: df.select(key, F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
+    d, b = sets(t.documents, "doc_id"), sets(t.benchmark, "item_id")
+    words = b.select("item_id", F.explode("words").alias("word"))
+    common = d.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ranked = words.join(common, "word").withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("n"), "word")))
+    posted = ranked.where(F.col("rank") >= LEAST).select("item_id", "word")
+    pairs = d.select("doc_id", F.explode("words").alias("word")).join(posted, "word").select("doc_id", "item_id").distinct()
+    n = pairs.join(d, "doc_id").join(b.withColumnRenamed("words", "own"), "item_id").select("doc_id", "item_id", F.size(F.array_intersect("words", "own")).cast("long").alias("n")).where(F.col("n") >= LEAST)
     return n.groupBy("doc_id").agg(F.max_by("item_id", F.struct("n", -F.col("item_id"))).alias("item_id"), F.max("n").alias("n"))
 
 
-@query("SELECT user_id AS id FROM events UNION SELECT o_custkey FROM orders WHERE o_orderkey < 500")
+@query("SELECT user_id AS id FROM events UNION SELECT o_custkey FROM orders")
 def set_union(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("id")).union(t.orders.select("o_custkey")).distinct()
 

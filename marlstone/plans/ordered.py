@@ -95,11 +95,11 @@ def upsert_last_wins(t: Tables) -> DataFrame:
     return L.upsert(L.upsert(o, new, ["o_orderkey"], F.col("o_totalprice")), new, ["o_orderkey"], F.col("o_totalprice"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0")
+@query("SELECT c_custkey AS k, c_mktsegment AS v FROM customer UNION ALL SELECT o_orderkey, min(o_orderstatus) FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_orderkey")
 def insert_ignore(t: Tables) -> DataFrame:
-    o = t.orders.select("o_orderkey", "o_orderstatus")
-    new = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("N"))
-    return L.insert_missing(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+    """Every order comes in under its key; a key that a customer has already is left alone."""
+    new = t.orders.groupBy(F.col("o_orderkey").alias("k")).agg(F.min("o_orderstatus").alias("v"))
+    return L.insert_missing(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), new, ["k"])
 
 
 @query("SELECT c_custkey, c_mktsegment AS role, c_mktsegment IN ('BUILDING', 'MACHINERY') AS granted FROM customer")
@@ -113,14 +113,20 @@ def resume_open(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("open_event"))
 
 
-@query(None)
+NAMES = {"signup": "CAPTURED", "view": "PENDING_AI", "click": "AI_PROCESSED", "purchase": "NEEDS_REVIEW", "error": "PROCESSING_FAILED"}
+LEGAL_SQL = ", ".join(f"('{a}', '{b}')" for a, to in L.TRANSITIONS.items() for b in to)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items())} END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f(user_id, n, seq, from_state, to_state, legal, attempts, now) AS (SELECT user_id, n, seq, NULL::VARCHAR, s, true, CASE WHEN s IN ('PROCESSING_FAILED', 'SYNC_FAILED') THEN 1 ELSE 0 END, s FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.seq, f.now, e.s, (f.now, e.s) IN ({LEGAL_SQL}), f.attempts + CASE WHEN (f.now, e.s) IN ({LEGAL_SQL}) AND (e.s IN ('PROCESSING_FAILED', 'SYNC_FAILED') OR (f.now = 'PENDING_AI' AND e.s = 'PENDING_AI')) THEN 1 ELSE 0 END, CASE WHEN (f.now, e.s) IN ({LEGAL_SQL}) THEN e.s ELSE f.now END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id::VARCHAR AS record_id, seq, from_state, to_state, legal, attempts::INT AS attempts FROM f""")
 def streaming_lifecycle(t: Tables) -> DataFrame:
     """The events as a file stream, checked record by record, into a Parquet sink; all that is there, then it ends."""
     from ..sources.files import shared_folder
     from ..streaming.lifecycle import SCHEMA, checked
 
-    names = {"signup": "CAPTURED", "view": "PENDING_AI", "click": "AI_PROCESSED", "purchase": "NEEDS_REVIEW", "error": "PROCESSING_FAILED"}
-    state = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("event_type")]
+    state = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))[F.col("event_type")]
     at = shared_folder(t.spark)
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
     journal = checked(stream.select(F.col("user_id").cast("string").alias("record_id"), F.col("event_id").alias("seq"), state.alias("state")))

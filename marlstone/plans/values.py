@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
@@ -21,19 +22,39 @@ def norm_number(t: Tables) -> DataFrame:
 WORDS_BOOL = ("Oui", "NON", "oui.", "nom", "x", "peut-être", "vrai", "ou")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 6 THEN true WHEN 7 THEN true END AS value, p_partkey % 8 <> 5 AS valid FROM part""")
+def words_sql(words: tuple[str, ...]) -> str:
+    """(p_partkey, raw): each part with a word of the list."""
+    return f"SELECT p_partkey, ([{', '.join(repr(w) for w in words)}])[p_partkey % {len(words)} + 1] AS raw FROM part"
+
+
+def one_of(words: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+
+
+def listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(f"""WITH x AS (SELECT p_partkey, regexp_replace(regexp_replace(strip_accents(lower(trim(raw))), '\\s', '', 'g'), '\\.+$', '') AS n FROM ({words_sql(WORDS_BOOL)})),
+d AS (SELECT p_partkey, n, levenshtein(n, 'oui') AS o, levenshtein(n, 'non') AS z FROM x)
+SELECT p_partkey, CASE WHEN n IN ({listed(N.YES)}) THEN true WHEN n IN ({listed(N.NO)}) THEN false WHEN length(n) >= 2 AND least(o, z) <= 1 THEN o <= z END AS value, n IN ({listed(N.YES + N.NO)}) OR (length(n) >= 2 AND least(o, z) <= 1) AS valid FROM d""")
 def norm_bool(t: Tables) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, WORDS_BOOL)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return t.part.select("p_partkey", N.norm_bool(raw).alias("x")).select("p_partkey", "x.value", "x.valid")
+    return t.part.select("p_partkey", N.norm_bool(one_of(WORDS_BOOL)).alias("x")).select("p_partkey", "x.value", "x.valid")
 
 
 WORDS_LAB = ("Neg", "positif", "négatiff", "Non immun", "+", "zzz", "N.F.", "imune")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'négatif' WHEN 1 THEN 'positif' WHEN 2 THEN 'négatif' WHEN 3 THEN 'non immune' WHEN 4 THEN 'positif' WHEN 6 THEN 'non fait' WHEN 7 THEN 'immune' END AS value, p_partkey % 8 <> 5 AS valid FROM part""")
+def lab_sql() -> str:
+    rows = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(N.LAB.items()))
+    return f"""WITH x AS (SELECT p_partkey, regexp_replace(strip_accents(lower(trim(raw))), '[^a-z+-]', '', 'g') AS n FROM ({words_sql(WORDS_LAB)})), l(i, k, v) AS (VALUES {rows}),
+d AS (SELECT p_partkey, arg_min(k, (levenshtein(n, k), i)) AS k, arg_min(v, (levenshtein(n, k), i)) AS v, min(levenshtein(n, k)) AS d FROM x, l GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN d = 0 OR (d <= 1 AND length(k) >= 3) THEN v END AS value, d = 0 OR (d <= 1 AND length(k) >= 3) AS valid FROM d"""
+
+
+@query(lab_sql())
 def norm_lab(t: Tables) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, WORDS_LAB)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return t.part.select("p_partkey", N.norm_lab(raw).alias("x")).select("p_partkey", "x.value", "x.valid")
+    return t.part.select("p_partkey", N.norm_lab(one_of(WORDS_LAB)).alias("x")).select("p_partkey", "x.value", "x.valid")
 
 
 @query("""WITH x AS (SELECT p_partkey, (10 + p_size % 10) * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 10 END AS a, (4 + p_size % 7) * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 10 END AS b FROM part), y AS (SELECT p_partkey, CASE WHEN a < 30 THEN a * 10 ELSE a END AS a, CASE WHEN a < 30 THEN b * 10 ELSE b END AS b FROM x)
@@ -49,14 +70,30 @@ def norm_code(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", N.norm_code(F.concat("p_name", F.lit(" -"), F.col("p_size").cast("string"))).alias("x")).select("p_partkey", "x.value", "x.valid")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 5 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, o_orderkey % 5 <> 3 AS valid, CASE WHEN o_orderkey % 5 = 4 THEN year(o_orderdate)::INT END AS year_only FROM orders""")
+#: Formats a day is written in, and those that aren't one: two-digit years after other signs than slashes, mixed signs, no such day.
+DAYS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "yyyy-MM-dd", "yyyy", "dd-MM-yy", "dd.MM.yy", "dd/MM-yyyy", "45/MM/yyyy")
+DAYS_SQL = ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%Y-%m-%d")
+
+
+WRITTEN_SQL = ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%Y-%m-%d", "%Y", "%d-%m-%y", "%d.%m.%y", "%d/%m-%Y", "45/%m/%Y")
+
+
+def date_sql() -> str:
+    raw = " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(WRITTEN_SQL))
+    four = lambda f: "NOT " if f.endswith("y") else ""
+    read = ", ".join(f"CASE WHEN year(try_strptime(raw, '{f}')) BETWEEN 1990 AND 2035 AND {four(f)}regexp_matches(raw, '[0-9]{{4}}') THEN try_strptime(raw, '{f}') END" for f in DAYS_SQL)
+    return f"""WITH x AS (SELECT o_orderkey, CASE o_orderkey % {len(WRITTEN_SQL)} {raw} END AS raw FROM orders), p AS (SELECT o_orderkey, raw, coalesce({read}) AS d FROM x), y AS (SELECT *, CASE WHEN d IS NULL AND regexp_full_match(raw, '(19|20)[0-9][0-9]') THEN raw::INT END AS year_only FROM p)
+SELECT o_orderkey, coalesce(strftime(d, '%Y-%m-%d'), year_only::VARCHAR) AS value, d IS NOT NULL OR year_only IS NOT NULL AS valid, year_only FROM y"""
+
+
+@query(date_sql())
 def parse_date(t: Tables) -> DataFrame:
-    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
-    raw = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "dd-MM-yy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.date_format(d, "45/MM/yyyy")).otherwise(F.date_format(d, "yyyy"))
+    k, d = F.col("o_orderkey") % len(DAYS), F.col("o_orderdate")
+    raw = F.coalesce(*(F.when(k == i, F.date_format(d, f)) for i, f in enumerate(DAYS)))
     return t.orders.select("o_orderkey", N.norm_date(raw).alias("x")).select("o_orderkey", "x.value", "x.valid", "x.year_only")
 
 
-@query("SELECT conv_id, turn, lower(translate(replace(trim(text), 'œ', 'oe'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')) AS folded FROM conversations")
+@query("SELECT conv_id, turn, strip_accents(lower(replace(trim(text), 'œ', 'oe'))) AS folded FROM conversations")
 def fold_accents(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", N.norm(F.col("text")).alias("folded"))
 
@@ -73,24 +110,18 @@ TERMS = ("red", "blue", "green", "hot", "cold", "small", "large", "steel")
 
 
 def term_sql() -> str:
-    rows = ", ".join(f"('{x}')" for x in TERMS)
-    return f"""WITH w AS (SELECT p_partkey, replace(string_split(p_name, ' ')[1], 'l', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'l' END) AS word FROM part), d AS (SELECT p_partkey, word, term, levenshtein(word, term) AS d FROM w, (VALUES {rows}) v(term)),
-k AS (SELECT p_partkey, word, min(d) AS best, arg_min(term, (d, term)) AS term FROM d GROUP BY ALL), u AS (SELECT k.*, (SELECT count(*) FROM d WHERE d.p_partkey = k.p_partkey AND d.d = k.best) AS ties FROM k)
-SELECT p_partkey, word, CASE WHEN best = 0 OR (ties = 1 AND best <= CASE WHEN length(word) <= 2 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE greatest(2, length(word) // 4) END) THEN term END AS snapped FROM u"""
+    rows = ", ".join(f"({i}, '{x}')" for i, x in enumerate(TERMS))
+    return f"""WITH w AS (SELECT p_partkey, replace(string_split(p_name, ' ')[1], 'l', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'l' END) AS word FROM part), d AS (SELECT p_partkey, word, i, term, levenshtein(word, term) AS d FROM w, (VALUES {rows}) v(i, term)),
+k AS (SELECT p_partkey, word, min(d) AS best, arg_min(term, (d, i)) AS term FROM d GROUP BY ALL), u AS (SELECT k.*, greatest(length(word), length(term)) AS size, (SELECT count(*) FROM d WHERE d.p_partkey = k.p_partkey AND d.d = k.best) AS ties FROM k),
+g AS (SELECT *, best = 0 OR (ties = 1 AND best <= CASE WHEN size <= 2 THEN 0 WHEN size <= 5 THEN 1 ELSE greatest(2, size // 4) END) AS good FROM u)
+SELECT p_partkey, word, CASE WHEN good THEN term END AS snapped, CASE WHEN good THEN round(1 - best / size, 4) END AS similarity FROM g"""
 
 
 @query(term_sql())
 def lexicon_snap(t: Tables) -> DataFrame:
-    """The only nearest term within a tolerance that follows the word's length; an exact hit always counts. The lexicon is a fixed list."""
     word = F.replace(F.split("p_name", " ")[0], F.lit("l"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.lit("l")))
-    d = t.part.select("p_partkey", word.alias("word"))
-    size = F.length("word")
-    tolerance = F.when(size <= 2, 0).when(size <= 5, 1).otherwise(F.greatest(F.lit(2), F.floor(size / 4).cast("int")))
-    near = F.array_sort(F.array(*(F.struct(F.levenshtein(F.col("word"), F.lit(x)).alias("d"), F.lit(x).alias("term")) for x in TERMS)))
-    d = d.withColumn("near", near)
-    best, second = F.col("near")[0], F.col("near")[1]
-    good = (best["d"] == 0) | ((best["d"] <= tolerance) & (best["d"] < second["d"]))
-    return d.select("p_partkey", "word", F.when(good, best["term"]).alias("snapped"))
+    d = t.part.select("p_partkey", word.alias("word")).withColumn("x", N.snap(F.col("word"), TERMS))
+    return d.select("p_partkey", "word", F.col("x.term").alias("snapped"), F.round("x.similarity", 4).alias("similarity"))
 
 
 @query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(url, '/', ';'), ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM pages")
@@ -121,10 +152,13 @@ def prefix_flags(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.when(key.contains("auto") | key.contains("mach"), 2).when(key.startswith("build"), 1).otherwise(0).alias("level"), key.startswith("f").alias("prefix"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS level FROM part")
+WORDS_SCHOOL = ("Supérieur", "Lycée", "aucune", "", "UNIVERSITÉ", "collège", "Secondaire", "primaire")
+
+
+@query(f"""WITH x AS (SELECT p_partkey, strip_accents(lower(trim(raw))) AS n FROM ({words_sql(WORDS_SCHOOL)}))
+SELECT p_partkey, CASE WHEN regexp_matches(n, 'sup|univ') THEN 2 WHEN regexp_matches(n, 'coll|lyc|second') THEN 1 WHEN n <> '' THEN 0 END AS level FROM x""")
 def education_bucket(t: Tables) -> DataFrame:
-    raw = F.element_at(F.array(F.lit("Supérieur"), F.lit("Lycée"), F.lit("aucune"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t.part.select("p_partkey", N.education(raw).alias("level"))
+    return t.part.select("p_partkey", N.education(one_of(WORDS_SCHOOL)).alias("level"))
 
 
 @query("""WITH x AS (SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'inconnu' WHEN l.toxic = 1 THEN 'n/a' WHEN d.n_chars < 200 THEN '' ELSE 'v' END AS raw, least(d.n_chars / 3000.0, 1.0)::DOUBLE AS c, coalesce(l.quality, 0) = 1 AS valid, (d.doc_id % 4)::INT AS importance FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -150,9 +184,13 @@ def quality_gate(t: Tables) -> DataFrame:
 
 @query("""SELECT conv_id, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'button' WHEN count(*) <= 10 THEN 'list' ELSE 'menu' END AS shape, array_to_string(list_slice(list(left(text, 20) ORDER BY turn, text), 1, 9), '|') AS titles FROM conversations GROUP BY conv_id""")
 def messages_shape(t: Tables) -> DataFrame:
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 20))
+    """A list takes nine titles, so no more of a conversation's turns are gathered."""
+    c = t.conversations
+    first = c.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text"))).where("rank <= 9")
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 20).alias("title")))), lambda x: x["title"])
     n = F.count("*")
-    return t.conversations.groupBy("conv_id").agg(n.alias("n"), F.when(n <= 3, "button").when(n <= 10, "list").otherwise("menu").alias("shape"), F.array_join(F.slice(titles, 1, 9), "|").alias("titles"))
+    shapes = c.groupBy("conv_id").agg(n.alias("n"), F.when(n <= 3, "button").when(n <= 10, "list").otherwise("menu").alias("shape"))
+    return shapes.join(first.groupBy("conv_id").agg(F.array_join(titles, "|").alias("titles")), "conv_id").select("conv_id", "n", "shape", "titles")
 
 
 @query("SELECT c_custkey, sha256(c_name) AS digest FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,15 @@ def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def webhook_messages(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """(sender, kind, value): every message of webhook documents, typed by what it holds; other kinds are dropped."""
-    parsed = payloads.select(F.from_json(payload, WEBHOOK).alias("p"))
-    messages = parsed.select(F.explode("p.entry").alias("e")).select(F.explode("e.changes").alias("c")).select(F.explode("c.value.messages").alias("m"))
+def webhook_messages(payloads: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """(sender, kind, value) and the columns to keep: every message of webhook documents, typed by what it holds; other kinds are dropped."""
+    keep = keep or []
+    parsed = payloads.select(*keep, F.from_json(payload, WEBHOOK).alias("p"))
+    messages = parsed.select(*keep, F.explode("p.entry").alias("e")).select(*keep, F.explode("e.changes").alias("c")).select(*keep, F.explode("c.value.messages").alias("m"))
     reply = F.coalesce("m.interactive.button_reply.id", "m.interactive.list_reply.id")
     kind = F.when(F.col("m.type") == "text", "text").when(F.col("m.type") == "interactive", "button").when(F.col("m.type") == "image", "photo")
     value = F.when(kind == "text", F.col("m.text.body")).when(kind == "button", reply).when(kind == "photo", F.col("m.image.id"))
-    return messages.select(F.col("m.from").alias("sender"), kind.alias("kind"), value.alias("value")).where("kind is not null")
+    return messages.select(*keep, F.col("m.from").alias("sender"), kind.alias("kind"), value.alias("value")).where("kind is not null")
 
 
 def outgoing(message: Column, buttons: Column) -> Column:
@@ -54,7 +56,7 @@ def export(df: DataFrame, path: str, role: str) -> bool:
     """CSV with a header, for roles that may; says whether it was granted."""
     if role not in EXPORTERS:
         return False
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
     return True
 
 
@@ -64,6 +66,10 @@ def since(df: DataFrame, sequence: str, last: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that isn't set (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
+    """A new folder under spark.checkpoint.dir; a temporary one only where that isn't set and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="marlstone-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,16 +47,20 @@ def failed_for_good(journal: DataFrame) -> DataFrame:
 
 
 def upsert_sink(path: str, key: list[str], order: str):
-    """For foreachBatch: each batch becomes version <id> of the table at path; a batch that comes again gives the same version."""
+    """For foreachBatch: each batch is written as its own delta, the latest row of each key; a batch that comes again gives the same delta.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.errors import AnalysisException
+    Nothing written before is read or rewritten, so a missing delta can't be taken
+    for an empty table.
+    """
 
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else batch.limit(0)
-        except AnalysisException:
-            old = batch.limit(0)
-        upsert(old, batch, key, F.col(order)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch.limit(0), batch, key, F.col(order)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
+    """The table out of all deltas: of each key the latest row of its last batch."""
+    rows = spark.read.parquet(path)
+    latest = F.max_by(F.struct(*(c for c in rows.columns)), F.struct("batch", order))
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(latest.alias("x")).select("x.*").drop("batch")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone import catalogue
 from marlstone.operators import aggregates, lifecycle, linkage, spatial, status
+from marlstone.operators.nearest import nearest
 
 
 def levenshtein(a, b):
@@ -80,11 +81,79 @@ def test_delivery_twice_changes_nothing(spark):
 
 
 def test_fusion(spark):
-    frame = lambda rows: spark.createDataFrame(rows, "f string, value string, status string, confidence double, importance int")
-    a = frame([("one", "x", "KNOWN", 0.8, 1), ("same", "y", "KNOWN", 0.8, 3), ("clash", "p", "KNOWN", 0.9, 1), ("weak", "p", "KNOWN", 0.7, 0)])
-    b = frame([("same", "y", "NEEDS_REVIEW", 0.7, 3), ("clash", "q", "KNOWN", 0.95, 1), ("weak", "q", "KNOWN", 0.9, 0), ("two", "z", "UNKNOWN", 1.0, 1)])
+    frame = lambda rows: spark.createDataFrame([(*r, "ai" if len(r) == 5 else r[5])[:6] + ("" if len(r) < 7 else r[6],) for r in rows], "f string, value string, status string, confidence double, importance int, source string, note string")
+    a = frame([("one", "x", "KNOWN", 0.8, 1, "ai_local"), ("same", "Voie-basse", "KNOWN", 0.8, 3), ("clash", "p", "KNOWN", 0.9, 1), ("weak", "p", "KNOWN", 0.7, 1), ("nulls", None, "NEEDS_REVIEW", 0.7, 1), ("out", "99", "NEEDS_REVIEW", 0.7, 1)])
+    b = frame([("same", "voie basse", "NEEDS_REVIEW", 0.7, 3), ("clash", "q", "KNOWN", 0.95, 1), ("weak", "q", "KNOWN", 0.9, 1), ("two", "z", "UNKNOWN", 1.0, 1, "vlm"), ("nulls", None, "NEEDS_REVIEW", 0.7, 1), ("out", "99", "NEEDS_REVIEW", 0.7, 1, "ai", "valeur hors plage")])
     out = {r.f: (r.value, r.status, r.confidence, r.source) for r in status.fuse(a, b, ["f"]).collect()}
-    assert out == {"one": ("x", "KNOWN", 0.8, "local"), "two": ("z", "UNKNOWN", 1.0, "remote"), "same": ("y", "KNOWN", 0.94, "ensemble"), "clash": ("q", "NEEDS_REVIEW", 0.55, "remote"), "weak": ("q", "KNOWN", 0.9, "remote")}
+    assert out == {"one": ("x", "KNOWN", 0.8, "ai_local"), "two": ("z", "UNKNOWN", 1.0, "vlm"), "same": ("voie basse", "KNOWN", 0.94, "ai_ensemble"), "clash": ("q", "NEEDS_REVIEW", 0.55, "ai"), "weak": ("q", "KNOWN", 0.9, "ai"), "nulls": (None, "NEEDS_REVIEW", 0.91, "ai_ensemble"), "out": ("99", "NEEDS_REVIEW", 0.91, "ai_ensemble")}
+    clash = next(r for r in status.fuse(a, b, ["f"]).collect() if r.f == "clash")
+    assert clash.candidates == ["q", "p"] and clash.note == "lectures divergentes : « q » / « p »"
+
+
+def test_merge_leaves_old_nulls(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    out = linkage.merge(frame([("a", None), ("b", "1"), ("c", "2")]), frame([("a", "x"), ("b", None), ("d", "y")]), "k", "v", F.col("k") == "b")
+    assert {r.k: r.merged for r in out.collect()} == {"a": None, "b": None, "c": "2", "d": "y"}
+
+
+def test_empty_codes_and_places_say_nothing(spark):
+    rows = [(1, "", 27, "", None, None), (2, "", 27, "", None, None), (3, "-", None, "x", None, None), (4, "-", None, "x", None, None)]
+    df = spark.createDataFrame(rows, "id long, code string, age int, place string, due date, period date")
+    assert {(r.probe, r.id): r.score for r in linkage.candidates(df, df).collect()} == {(3, 4): 78, (4, 3): 78}
+
+
+def test_nearest_against_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([0.0, 0.5, 1.0, rnd.random()]) for _ in range(5)]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    got = sorted((r.probe, r["rank"], r.id, r.distance) for r in nearest(df.where("id % 20 = 0"), df).collect())
+    full = [(i, [float(spark_float(x)) for x in v]) for i, v in rows[:120]]
+    want = []
+    for i, v in full[::20]:
+        near = sorted((round(sum((x - y) ** 2 for x, y in zip(v, w, strict=True)) ** 0.5, 4), j) for j, w in full if j != i)
+        want += [(i, k + 1, j, d) for k, (d, j) in enumerate(near[:2])]
+    assert got == want
+
+
+def spark_float(x):
+    import numpy as np
+
+    return np.float32(x)
+
+
+def test_guard_interrupt_and_feedback(spark):
+    current = spark.createDataFrame([(1, "NEEDS_REVIEW"), (2, "VALIDATED"), (3, "SYNCED")], "k int, state string")
+    asked = spark.createDataFrame([(1, "NEEDS_REVIEW", "VALIDATED"), (2, "NEEDS_REVIEW", "PATIENT_MATCHED"), (3, "SYNCED", "CAPTURED"), (4, "SYNCED", "NEEDS_REVIEW")], "k int, expected string, to_state string")
+    out = {r.k: (r.state, r.outcome) for r in lifecycle.guarded(current, asked, ["k"], lifecycle.transition_table(spark)).collect()}
+    assert out == {1: ("VALIDATED", "applied"), 2: ("VALIDATED", "refused"), 3: ("SYNCED", "refused"), 4: (None, "missing")}
+    rows = spark.createDataFrame([("a", n, n == 3, n == 1) for n in range(5)] + [("b", 0, False, False)], "batch string, n int, off boolean, bad boolean")
+    out = {(r.batch, r.n): r.outcome for r in lifecycle.interrupted(rows, "batch", ["n"], F.col("off"), F.col("bad")).collect()}
+    assert out == {("a", 0): "done", ("a", 1): "failed", ("a", 2): "done", ("a", 3): "pending", ("a", 4): "pending", ("b", 0): "done"}
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (5, "x"), (3, ""), (4, ""), (6, "y")], "k int, code string")
+    out = {r.k: (r.state, r.n_others, r.other) for r in lifecycle.duplicate_feedback(rows, "k", "code").collect()}
+    assert out[1] == ("DUPLICATE_SUSPECTED", 2, 5) and out[5] == ("DUPLICATE_SUSPECTED", 2, 1) and out[3] == out[6] == ("SYNCED", 0, None)
+
+
+def test_a_full_page_meets_line_by_line(spark):
+    """Boxes on other lines of a crowded page are never compared."""
+    rnd = random.Random(2)
+    labels = [("p", i, rnd.uniform(0, 300), rnd.uniform(0, 400)) for i in range(60)]
+    boxes = [("p", i, x, y, x + rnd.uniform(0, 40), y + rnd.uniform(0, 40)) for i in range(60) for x, y in [(rnd.uniform(0, 300), rnd.uniform(0, 400))]]
+    a, b = spark.createDataFrame(labels, "page string, label int, x double, y double"), spark.createDataFrame(boxes, "page string, box int, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for _, i, x, y in labels:
+        near = [(x0 - x, k) for _, k, x0, y0, _, _ in boxes if abs(y0 - y) <= 7 and -3 <= x0 - x < 130]
+        if near:
+            want[i] = min(near)[1]
+    assert {r.label: r.box for r in spatial.nearest_box(a, b).collect()} == want
+    inside = {(i, k) for _, i, x, y in labels for _, k, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1}
+    points, regions = a.withColumnRenamed("label", "point"), b.withColumnRenamed("box", "region")
+    assert {(r.point, r.region) for r in spatial.inside(points, regions).collect()} == inside
+    marks = a.select("page", F.col("x").alias("mx0"), F.col("y").alias("my0"), (F.col("x") + 25).alias("mx1"), (F.col("y") + 45).alias("my1"))
+    for r in spatial.overlap(marks, b).collect():
+        _, _, x0, y0, x1, y1 = boxes[r.box]
+        ink = sum(max(0, min(x1, x + 25) - max(x0, x)) * max(0, min(y1, y + 45) - max(y0, y)) for *_, x, y in labels)
+        assert abs(r.share - ink / ((x1 - x0) * (y1 - y0))) < 1e-3
 
 
 def test_lines_follow_their_head(spark):

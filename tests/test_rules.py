@@ -41,3 +41,12 @@ def test_wide_row(spark):
     a = out["a"]
     assert (a.age, a.education, a.abortions, a.mean_sbp, a.mean_dbp, a.bmi, a.hiv, a.preterm, a.delivery, a.glucose, a.referral, a.previous_cesarean) == (27, 2, 0, 115.0, 75.0, 23.44, 0, 1, 1, 85.0, 0, 1)
     assert a.breastfeeding is None and a.syphilis is None and out["b"].age is None and len(a) == 31
+
+
+def test_repeated_and_nameless_fields(spark):
+    """Of two rows of a field the larger value counts; a row without a field takes no part."""
+    rows = [("a", "gravidity", None, 2.0, None, "KNOWN", 0.9, "ai", ""), ("a", "gravidity", None, 1.0, None, "KNOWN", 0.9, "ai", ""), ("a", "parity", None, 3.0, None, "KNOWN", 0.9, "ai", ""), ("a", None, "x", None, None, "KNOWN", 0.9, "ai", "")]
+    out = [(r.field_id, r.status) for r in consistent(spark.createDataFrame(rows, VALUES)).collect()]
+    assert sorted(out, key=str) == [("gravidity", "NEEDS_REVIEW"), ("gravidity", "NEEDS_REVIEW"), ("parity", "NEEDS_REVIEW"), (None, "KNOWN")]
+    kept = [("a", "age", None, 27.0, None, "KNOWN", True), ("a", "age", None, 31.0, None, "KNOWN", True), ("a", None, None, 5.0, None, "KNOWN", True)]
+    assert [r.age for r in wide(spark.createDataFrame(kept, "record_id string, field_id string, value_str string, value_num double, value_bool boolean, status string, valid boolean")).collect()] == [31.0]

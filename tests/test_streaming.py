@@ -1,5 +1,5 @@
 from marlstone.operators import lifecycle
-from marlstone.streaming.lifecycle import checked, failed_for_good, upsert_sink
+from marlstone.streaming.lifecycle import checked, failed_for_good, upsert_sink, upserted
 
 EVENTS = [("a", 1, "CAPTURED"), ("a", 2, "PENDING_AI"), ("b", 1, "CAPTURED"), ("b", 2, "SYNCED"), ("a", 3, "PENDING_AI"), ("a", 4, "PENDING_AI"), ("a", 5, "PROCESSING_FAILED"), ("b", 3, "PENDING_AI")]
 
@@ -26,6 +26,9 @@ def test_stream_equals_a_fold(spark, tmp_path):
 def test_upsert_sink_replays(spark, tmp_path):
     write = upsert_sink(str(tmp_path / "t"), ["k"], "ts")
     frame = lambda rows: spark.createDataFrame(rows, "k int, v string, ts int")
-    for batch_id, rows in ((0, [(1, "a", 1)]), (1, [(1, "b", 2), (2, "c", 1)]), (1, [(1, "b", 2), (2, "c", 1)])):
+    for batch_id, rows in ((0, [(1, "a", 1), (3, "z", 1)]), (1, [(1, "b", 2), (2, "c", 1), (2, "d", 3)]), (1, [(1, "b", 2), (2, "c", 1), (2, "d", 3)])):
         write(frame(rows), batch_id)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()) == [(1, "b"), (2, "c")]
+    read = lambda: sorted((r.k, r.v) for r in upserted(spark, str(tmp_path / "t"), ["k"], "ts").collect())
+    assert read() == [(1, "b"), (2, "d"), (3, "z")]
+    write(frame([(3, "y", 0)]), 5)  # batches 2 to 4 were empty or are lost: what is there stays
+    assert read() == [(1, "b"), (2, "d"), (3, "y")]

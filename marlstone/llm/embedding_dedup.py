@@ -3,13 +3,20 @@
 A unit vector o is rotated at random and kept as the signs of its coordinates
 (code c, as a unit vector) with the correction factor f = <c, o>. For another
 unit vector q, <c, q> / f is an unbiased estimate of <o, q> whose error has a
-standard deviation of sqrt((1 - f^2) / f^2 / (D - 1)). Only pairs whose estimate
-plus EPSILON deviations reaches the threshold are computed in double precision.
-
-Pairs meet in hash tables over sign bits of a few rotations; their number and
-width follow the number of vectors, for a chance to miss a pair at the threshold
-below MISS. A pair that meets in several tables counts in the first. Buckets over
-BLOCK vectors are compared block by block. Equal vectors are one row throughout.
+standard deviation of sqrt((1 - f^2) / f^2 / (D - 1)). q itself is stored with 8
+bits a coordinate and the norm of what that leaves out, which bounds its error.
+
+1. Equal vectors are one class from here on. Each class is indexed once: code,
+   factor, rounded vector, and its keys in hash tables over sign bits of a few
+   rotations; the number and width of tables follow the number of classes, for a
+   chance to miss a pair at the threshold below MISS.
+2. What travels to the tables' buckets is the index entry, not the vector. There,
+   a pair is ruled out if the upper bound of either side's estimate, EPSILON
+   deviations up, is below the threshold; a vector with a pair left is called for.
+3. Vectors that are called for come to those buckets, and their pairs are computed
+   in double precision. A pair that meets in several tables counts in the first.
+
+Buckets over BLOCK entries are compared block by block.
 """
 
 from __future__ import annotations
@@ -19,19 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import materialise
-from .components import components
+from .common import materialise, whole_numbers
+from .components import components, join_hot
 
 THRESHOLD = 0.95
-EPSILON = 5.0
+EPSILON = 4.0
 MISS = 1e-5
-BLOCK = 1024
+BLOCK = 2048
 #: Vectors of a bucket on average; smaller buckets need more tables.
-BUCKET = 256
+BUCKET = 512
 ROTATIONS = 4
+GROUP = ["t", "dim", "key", "i", "j"]
 
 
 def rotations(dim: int, count: int = ROTATIONS) -> list[np.ndarray]:
@@ -60,121 +69,172 @@ def chosen_bits(dim: int, bits: int, tables: int) -> np.ndarray:
     return rng.permutation(rotation_count(dim, bits, tables) * dim)[: bits * tables].reshape(tables, bits)
 
 
-def index(vectors: np.ndarray, turn: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes as packed signs, correction factors, keys of the tables) of unit vectors."""
-    turned = np.concatenate([vectors @ t.T for t in turn], axis=1)
-    signs = turned > 0
-    dim = vectors.shape[1]
-    factor = np.abs(turned[:, :dim]).sum(1) / math.sqrt(dim)
-    weights = (1 << np.arange(places.shape[1])).astype(np.int64)
-    keys = np.stack([signs[:, p] @ weights for p in places], axis=1)
-    return np.packbits(signs[:, :dim], axis=1), factor, keys
+def unit(lists: list) -> np.ndarray:
+    x = np.array(lists, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def postings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """One row for each class and table: t, key, rep, weight, and the vector with its code, factor and keys as one block."""
+def entries(turned: np.ndarray) -> np.ndarray:
+    """Index entries of rotated unit vectors, as rows of bytes: code, factor, least coordinate, step, norm left out, rounded coordinates."""
+    dim = turned.shape[1]
+    low = turned.min(1, keepdims=True)
+    step = np.maximum((turned.max(1, keepdims=True) - low) / 255, 1e-12)
+    low, step = low.astype(np.float32), step.astype(np.float32)
+    whole = np.clip(np.rint((turned - low) / step), 0, 255).astype(np.uint8)
+    rest = np.sqrt(((turned - (low + step * whole.astype(np.float32))) ** 2).sum(1, keepdims=True)) * (1 + 1e-6)
+    factor = np.abs(turned).sum(1, keepdims=True) / math.sqrt(dim)
+    head = np.concatenate([factor, low, step, rest], axis=1).astype(np.float32)
+    return np.concatenate([np.packbits(turned > 0, axis=1), np.ascontiguousarray(head).view(np.uint8), whole], axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            reps, weights, lists = (batch.column(i).to_pylist() for i in range(3))
-            for dim in sorted({len(v) for v in lists}):
-                at = [i for i, v in enumerate(lists) if len(v) == dim]
-                turn, places = held[dim] if dim in held else held.setdefault(dim, (rotations(dim, rotation_count(dim, bits, tables)), chosen_bits(dim, bits, tables)))
-                for a in range(0, len(at), 512):
-                    part = at[a : a + 512]
-                    x = np.array([lists[i] for i in part], np.float64)
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    code, factor, keys = index(x, turn, places)
-                    rows = [x[i].tobytes() + code[i].tobytes() + factor[i].tobytes() + keys[i].astype(np.int32).tobytes() for i in range(len(part))]
-                    n = len(part)
-                    columns = [np.tile(np.arange(tables), n), np.repeat(dim, n * tables), keys.ravel(), np.repeat([reps[i] for i in part], tables), np.repeat([weights[i] for i in part], tables)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns] + [pa.array(np.repeat(np.array(rows, object), tables), pa.binary())], names=["t", "dim", "key", "rep", "weight", "block"])
-
-    return classes.select("rep", "weight", "embedding").mapInArrow(run, "t long, dim long, key long, rep long, weight long, block binary")
-
-
-def compare(t: int, turn: np.ndarray, tables: int, reps: np.ndarray, weights: np.ndarray, blocks: list[bytes], side: np.ndarray, cross: bool, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]], int]:
-    """(vectors linked to each, links that connect them, pairs computed in full) of a bucket; cross: of its two sides."""
-    dim = len(turn)
-    size = (dim + 7) // 8
+
+def read_entries(blocks: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signs as 1 and -1, factor, norm left out, rounded vectors)."""
     raw = np.frombuffer(b"".join(blocks), np.uint8).reshape(len(blocks), -1)
-    cut = np.cumsum([8 * dim, size, 8, 4 * tables])
-    x, code, factor, keys = (np.ascontiguousarray(raw[:, a:b]) for a, b in zip([0, *cut[:-1]], cut, strict=True))
-    x, factor, keys = x.view(np.float64), factor.view(np.float64)[:, 0], keys.view(np.int32)
-    signs = np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1
-    turned = (x @ turn.T).astype(np.float32)
-    slack = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1))
-    counts: dict[int, int] = {}
+    size = (dim + 7) // 8
+    signs = np.unpackbits(raw[:, :size], axis=1)[:, :dim].astype(np.float32) * 2 - 1
+    factor, low, step, rest = np.ascontiguousarray(raw[:, size : size + 16]).view(np.float32).T
+    return signs, factor, rest, low[:, None] + step[:, None] * raw[:, size + 16 :].astype(np.float32)
+
+
+def upper_bounds(entry: tuple, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """What the inner products of these rows may reach, by the codes of own and the vectors of other."""
+    signs, factor, rest, near = entry
+    dim = signs.shape[1]
+    f = factor[own, None]
+    slack = EPSILON * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(dim - 1, 1))
+    return signs[own] @ near[other].T / (math.sqrt(dim) * f) + slack + rest[other] / f + 1e-5
+
+
+def called_for(entry: tuple, side: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
+    """Which rows of a bucket have a pair (of its two sides, if cross) that the bounds don't rule out."""
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(side)),) * 2
+    out = np.zeros(len(side), bool)
+    for a in range(0, len(left), 256):
+        own = left[a : a + 256]
+        open_ = (upper_bounds(entry, own, right) >= threshold) & (upper_bounds(entry, right, own).T >= threshold)
+        if not cross:
+            open_[np.arange(len(own)), own] = False
+        out[own] |= open_.any(1)
+        out[right] |= open_.any(0)
+    return out
+
+
+def compare(t: int, x: np.ndarray, keys: np.ndarray, cls: np.ndarray, reps: np.ndarray, weights: np.ndarray, side: np.ndarray, cross: bool, threshold: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """((class, vectors linked to it), links that connect representatives) of a bucket; cross: of its two sides."""
     edges: list[tuple[int, int]] = []
-    part = np.arange(len(x))
-    full = 0
+    part, total = np.arange(len(x)), np.zeros(len(x), np.int64)
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(x)),) * 2
     for a in range(0, len(left), 256):
         own = left[a : a + 256]
-        estimate = signs[own] @ turned[right].T / math.sqrt(dim) / factor[own, None]
-        i, j = np.nonzero(estimate + slack[own, None] + 1e-5 >= threshold)
+        i, j = np.nonzero(x[own] @ x[right].T >= threshold - 1e-9)
         i, j = own[i], right[j]
         later = np.ones(len(i), bool) if cross else i < j
         i, j = i[later], j[later]
-        full += len(i)
         near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
         i, j = i[near], j[near]
         if t:
             first = ~(keys[i, :t] == keys[j, :t]).any(1)
             i, j = i[first], j[first]
-        for p, q in ((i, j), (j, i)):
-            total = np.bincount(p, weights=weights[q], minlength=len(x))
-            for k in np.flatnonzero(total).tolist():
-                counts[int(reps[k])] = counts.get(int(reps[k]), 0) + int(total[k])
+        np.add.at(total, i, weights[j])
+        np.add.at(total, j, weights[i])
         for k, m in zip(i.tolist(), j.tolist(), strict=True):
             if part[k] != part[m]:
                 edges.append((int(reps[k]), int(reps[m])))
                 part[part == part[m]] = part[k]
-    return counts, edges, full
+    some = np.flatnonzero(total)
+    return list(zip(cls[some].tolist(), total[some].tolist(), strict=True)), edges
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row: n_links, component_id, kept.
+def indexed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """The classes with their dimension, index entry and keys in the tables."""
+    kind = classes.schema["embedding"].dataType.simpleString()
 
-    Null or zero vectors, those of no components and those with null or
-    non-finite ones link with nothing; neither do rows without an id (component
-    null, kept). Vectors of different lengths don't link. Repeated rows count as
-    vectors of their own. Other columns are ignored.
-    """
-    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    own = own.withColumn("good", F.coalesce(good, F.lit(False)))
-    classes = materialise(own.where("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    bits, tables = table_plan(classes.count(), threshold)
-    posted = postings(classes, bits, tables)
-    large = posted.groupBy("t", "dim", "key").count().where(F.col("count") > BLOCK).select("t", "dim", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            size = np.array(batch.column(0).value_lengths().to_pylist(), np.int64)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                turn, places = held[dim] if dim in held else held.setdefault(dim, (np.concatenate(rotations(dim, rotation_count(dim, bits, tables))), chosen_bits(dim, bits, tables)))
+                weights = 1 << np.arange(places.shape[1])
+                for a in range(0, len(at), 1024):
+                    part = batch.take(pa.array(at[a : a + 1024]))
+                    turned = unit(part.column(0).to_pylist()) @ turn.T
+                    keys = ((turned > 0)[:, places] @ weights).astype(np.int32)
+                    columns = [*part.columns, pa.array(np.full(part.num_rows, dim)), pa.array([e.tobytes() for e in entries(turned[:, :dim])], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["embedding", "h1", "h2", "rep", "weight", "cls", "dim", "entry", "keys"])
+
+    columns = classes.select("embedding", "h1", "h2", "rep", "weight", F.monotonically_increasing_id().alias("cls"))
+    return columns.mapInArrow(run, f"embedding {kind}, h1 long, h2 int, rep long, weight long, cls long, dim long, entry binary, keys array<int>")
+
+
+def good(v: Column) -> Column:
+    """Whether a vector may link: not null, not all zero, finite throughout."""
+    return F.coalesce(v.isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def found_links(index: DataFrame, threshold: float) -> DataFrame:
+    """(a, n, b): n vectors linked to class a; or with b, a link of two representatives."""
+    posted = index.select("cls", "dim", "entry", F.posexplode("keys").alias("t", "key"))
+    large = index.select("dim", F.posexplode("keys").alias("t", "key")).groupBy("t", "dim", "key").count().where(F.col("count") > BLOCK).select("t", "dim", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     sized = posted.join(large, ["t", "dim", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sized = sized.withColumn("place", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sized = sized.withColumn("place", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "dim", "key", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), (F.col("place") > F.col("other")).cast("int").alias("side"), "rep", "weight", "block")
+    dealt = dealt.select("t", "dim", "key", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), (F.col("place") > F.col("other")).cast("int").alias("side"), "cls", "entry")
 
-    held: dict[int, np.ndarray] = {}  # a task's rotation for each length of vectors
+    def call(key, rows):
+        _, dim, _, i, j = (k.as_py() for k in key)
+        side = rows.column("side").to_numpy()
+        some = pa.array(np.flatnonzero(called_for(read_entries(rows.column("entry").to_pylist(), dim), side, i != j, threshold)))
+        return rows.select([*GROUP, "side", "cls"]).take(some)
+
+    called = dealt.groupBy(*GROUP).applyInArrow(call, "t int, dim long, key int, i int, j int, side int, cls long")
+    whole = called.join(index.select("cls", "embedding", "keys", "rep", "weight"), "cls")
 
     def run(key, rows):
-        t, dim, _, i, j = (k.as_py() for k in key)
-        if dim not in held:
-            held[dim] = rotations(dim)[0]
-        reps, weights, side = (rows.column(c).to_numpy() for c in ("rep", "weight", "side"))
-        counts, edges, _ = compare(t, held[dim], tables, reps, weights, rows.column("block").to_pylist(), side, i != j, threshold)
-        out = [(r, n, None) for r, n in counts.items()] + [(a, 0, b) for a, b in edges]
+        t, *_, i, j = (k.as_py() for k in key)
+        cls, reps, weights, side = (rows.column(c).to_numpy() for c in ("cls", "rep", "weight", "side"))
+        keys = np.array(rows.column("keys").to_pylist(), np.int32)
+        counts, edges = compare(t, unit(rows.column("embedding").to_pylist()), keys, cls, reps, weights, side, i != j, threshold)
+        out = [(c, n, None) for c, n in counts] + [(a, 0, b) for a, b in edges]
         a, n, b = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = materialise(dealt.groupBy("t", "dim", "key", "i", "j").applyInArrow(run, "a long, n long, b long"), "links")
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    linked = components(found.where("b is not null").select("a", "b"))
-    named = classes.join(counts, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")
-    named = named.select("embedding", F.lit(True).alias("good"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = own.join(named, ["embedding", "good"], "left")
-    component = F.when(F.col("vec_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return whole.groupBy(*GROUP).applyInArrow(run, "a long, n long, b long")
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row: n_links, component_id, kept.
+
+    Null or zero vectors, those of no components and those with null or
+    non-finite ones link with nothing; neither do rows without an id (component
+    null, kept). Vectors of different lengths don't link. Repeated rows count as
+    vectors of their own. Vectors of one id have each their own links and one
+    component, since what one of them reaches, the id reaches. Ids that aren't
+    whole numbers are an error. Other columns are ignored.
+    """
+    whole_numbers(vectors, vec_id)
+    kind = vectors.schema[embedding].dataType
+    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding) if kind == ArrayType(FloatType(), kind.containsNull) else F.col(embedding).cast("array<double>"))
+    own = own.toDF("vec_id", "embedding").withColumn("good", F.col("vec_id").isNotNull() & good(F.col("embedding")))
+    same = F.transform("embedding", lambda x: x + F.lit(0).cast(own.schema["embedding"].dataType.elementType))  # -0 is 0
+    rows = own.where("good").select("vec_id", same.alias("embedding")).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
+    classes = materialise(rows.groupBy("embedding").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    count, total = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    index = materialise(indexed(classes, *table_plan(count, threshold)), "index")
+    found = materialise(found_links(index, threshold), "links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
+    ids = rows.select("vec_id", "h1", "h2").unionByName(own.where("not good and vec_id is not null").selectExpr("vec_id", "cast(null as long) AS h1", "cast(null as int) AS h2"))
+    several = ids.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a <> b").select("vec_id")
+    named = index.select("cls", "h1", "h2", "rep", "weight")
+    versions = rows.select("vec_id", "h1", "h2").join(several, "vec_id", "left_semi").distinct().join(named.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep")
+    linked = components(found.where("b is not null").select("a", "b").unionByName(versions.toDF("a", "b")))
+    named = named.join(counts, "cls", "left").join(linked, F.col("rep") == F.col("node"), "left")
+    named = named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), "weight")
+    out = join_hot(rows.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "weight", total).select("vec_id", "n_links", "component")
+    alone = own.where("not good").select("vec_id").join(linked, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    return out.unionByName(alone).withColumnRenamed("component", "component_id").withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

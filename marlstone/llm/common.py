@@ -36,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+def shared_base(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir, which driver and executors share.
 
     Where that setting is missing, a temporary folder stands in, one for each
     application, if all of it runs in one process; on a cluster that would be
@@ -51,7 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in LOCAL:
             LOCAL[app] = tempfile.mkdtemp(prefix="marlstone-")
         base = LOCAL[app]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def whole_numbers(df: DataFrame, column: str) -> None:

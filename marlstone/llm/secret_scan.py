@@ -5,6 +5,10 @@ says which (blob, rule version) pairs have been scanned and what was found. A
 run scans the pairs that the ledger doesn't have, once for each blob however
 many paths hold it, and joins the findings back to all paths.
 
+Blobs that the ledger has, or that several rows hold, set a bit of a bitmap of
+fixed size, which is broadcast. A row without its bit is the only one of a new
+blob and is scanned where it stands; only the others (and false alarms) move.
+
 Matches come with their places: split() by a rule gives the text between its
 matches and regexp_extract_all() the matches, so running sums of both lengths are
 the spans, in code points.
@@ -12,11 +16,16 @@ the spans, in code points.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise, shared_base
+from .components import join_hot
+
 
 class Rule(NamedTuple):
     kind: str
@@ -39,9 +48,10 @@ MORE = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@"),
 )
 RULES = BASE + MORE
-#: To be raised with each change of the rules.
-RULE_VERSION = 1
+#: Bits of the bitmap of blobs that aren't alone, and of one row of it (as bitmap_construct_agg has them): 4 MB in all.
+BITS, ROW_BITS = 1 << 25, 1 << 15
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+LEDGER = f"blob binary, rule_version int, spans {SPAN}"
 MASK = "[SECRET]"
 
 
@@ -85,70 +95,107 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(new ledger rows, paths with their spans).
+def version(rules: tuple[Rule, ...]) -> int:
+    """The rules' version, which is another one with any change of them."""
+    return int.from_bytes(hashlib.sha256(repr([tuple(r) for r in rules]).encode()).digest()[:4], "big") >> 1
+
+
+def bit(blob: Column) -> Column:
+    return F.pmod(F.xxhash64(blob), F.lit(BITS)) + 1
+
+
+def crowded(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(bucket, bitmap), at most BITS / ROW_BITS rows: bits of blobs that several rows hold or that are known."""
+    several = rows.groupBy("__blob").agg(F.count("*").alias("n")).where("n > 1").select("__blob")
+    at = several.unionByName(known.select(F.col("blob").alias("__blob"))).select(bit(F.col("__blob")).alias("x"))
+    return at.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bitmap"))
 
-    The new rows are (blob, rule_version, spans) of the pairs scanned now. The
-    second frame has one row for each row of docs: doc_id, blob and spans.
+
+def is_set(bitmap: Column, x: Column) -> Column:
+    """Whether bit x is set in its row of the bitmap; rows that aren't there have none."""
+    place = (x - 1) % ROW_BITS
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+
+
+def findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(new ledger rows, all rows of docs with __blob and __spans, null where nothing was found).
+
+    The new rows are (blob, rule_version, spans) of the pairs scanned now. Without
+    keep_text, the text of rows that are scanned where they stand is dropped.
     """
-    paths = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), address(F.col(text)).alias("blob"))
-    keyed = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = paths.groupBy("blob").agg(F.min(keyed).alias("key"))
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
-        first = first.join(known.select("blob").distinct(), "blob", "left_anti")
-    reps = first.select(F.col("key").alias("rep_key"), F.col("blob").alias("rep_blob")).hint("shuffle_hash")
-    texts = paths.select("blob", F.coalesce("text", F.lit("")).alias("text"), keyed.alias("key")).join(reps, (F.col("key") == F.col("rep_key")) & (F.col("blob") == F.col("rep_blob")), "left_semi")
-    new = scan(texts.select("blob", "text"), rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
-    seen = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
-    # rows that repeat as a whole are scanned as often; their findings are one row again
-    hits = seen.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
-    return new, paths.select("doc_id", "blob").join(hits, "blob", "left")
+    now = version(rules)
+    if ledger is None:
+        ledger = docs.sparkSession.createDataFrame([], LEDGER)
+    known = ledger.where(F.col("rule_version") == now)
+    own = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.withColumn("__blob", address(F.col(text))).withColumn("__x", bit(F.col("__blob"))).withColumn("__bucket", F.expr("bitmap_bucket_number(__x)"))
+    bitmap = F.broadcast(crowded(docs.select(address(F.col(text)).alias("__blob")), known).withColumnRenamed("bucket", "__bucket"))
+    marked = marked.join(bitmap, "__bucket", "left").withColumn("__alone", ~is_set(F.col("bitmap"), F.col("__x")))
+    found = F.concat(*(spans_of(own, r, i) for i, r in enumerate(rules)))
+    columns = [F.col(f"`{c}`") if keep_text or c != text else F.when(~F.col("__alone"), F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    first = materialise(marked.select(*columns, "__blob", "__alone", F.monotonically_increasing_id().alias("__row"), F.when(F.col("__alone"), found).alias("__spans")), "scanned")
+    many = first.where("not __alone")
+    one = many.groupBy("__blob").agg(F.min("__row").alias("__one"), F.count("*").alias("__n"))
+    unseen = one.join(known.select(F.col("blob").alias("__blob")).distinct(), "__blob", "left_anti").select("__one")
+    texts = many.select("__row", F.col("__blob").alias("blob"), own.alias("text")).join(unseen, F.col("__row") == F.col("__one"), "left_semi")
+    fresh = materialise(scan(texts.select("blob", "text"), rules), "fresh")
+    # a blob that two runs put down at once has two equal rows
+    seen = known.select("blob", "spans").unionByName(fresh).where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("__spans"))
+    hits = one.join(seen.withColumnRenamed("blob", "__blob"), "__blob").select("__blob", "__spans", "__n")
+    back = join_hot(many.drop("__spans"), hits, ["__blob"], "__n", many.count())
+    rows = first.where("__alone").unionByName(back.select(first.columns)).drop("__alone", "__row")
+    new = first.where("__alone").select(F.col("__blob").alias("blob"), F.col("__spans").alias("spans")).unionByName(fresh)
+    return new.select("blob", F.lit(now).alias("rule_version"), "spans"), rows
 
 
 def report(paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, the hash of the base spans and all spans, for each row."""
-    spans = F.coalesce(F.col("spans"), F.array().cast(SPAN))
+    spans = F.coalesce(F.col("__spans"), F.array().cast(SPAN))
     base = F.filter(spans, lambda s: s["rank"] < len(BASE))
     ranks = F.transform(spans, lambda s: s["rank"])
     counts = [(F.size(ranks) - F.size(F.array_remove(ranks, i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[: len(BASE)])]
     return paths.select("doc_id", *counts, F.sha2(named(base, rules).cast("binary"), 256).alias("base_sha256"), named(spans, rules).alias("spans"))
 
 
-def scan_with_ledger(docs: DataFrame, ledger_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scans what the ledger at ledger_path (Parquet) lacks, adds it there, and reports on all rows of docs.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at a path (Parquet), empty if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], LEDGER)
+
+
+def ledger_of(spark: SparkSession, place: str) -> str:
+    """Where the ledger of a table's folder is kept, under the shared folder, from run to run."""
+    return f"{shared_base(spark)}/secret_ledger/{hashlib.sha256(place.encode()).hexdigest()[:32]}"
+
+
+def with_ledger(docs: DataFrame, ledger_path: str, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
+    """Scans what the ledger lacks, adds it there, and gives all rows of docs with __blob and __spans.
 
     A run that breaks off leaves the ledger as it was or with whole files of
     right findings; the next one scans what is missing.
     """
-    from pyspark.errors import AnalysisException
-
-    spark = docs.sparkSession
-    schema = f"blob binary, rule_version int, spans {SPAN}"
-    try:
-        ledger = spark.read.schema(schema).parquet(ledger_path)
-    except AnalysisException:
-        ledger = spark.createDataFrame([], schema)
-    new, _ = findings(docs, doc_id, text, ledger)
+    new, rows = findings(docs, text, read_ledger(docs.sparkSession, ledger_path), rules, keep_text)
     new.write.mode("append").parquet(ledger_path)
-    _, paths = findings(docs, doc_id, text, spark.read.schema(schema).parquet(ledger_path))
-    return report(paths)
+    return rows
 
 
-def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document row, without a ledger from earlier runs.
+def secrets(docs: DataFrame, ledger_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document row; with a ledger_path, through that ledger.
 
-    Null texts are empty and have no spans; a null id is carried through;
-    repeated rows each give their own result; other columns are ignored.
+    Null texts are empty and have no spans; texts of any length are scanned whole;
+    a null id is carried through; repeated rows each give their own result; an
+    empty table gives no rows; other columns are ignored.
     """
-    return report(findings(docs, doc_id, text)[1])
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return report(with_ledger(own, ledger_path) if ledger_path else findings(own)[1])
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ledger_path: str | None = None, text: str = "text") -> DataFrame:
     """The documents with each run of overlapping spans replaced by MASK; n_chars, if there, follows. Null texts stay null."""
-    keyed = docs.withColumn("__blob", address(F.col(text)))
-    hits = scan_blobs(docs, text)
-    joined = keyed.join(hits, F.col("__blob") == F.col("__hit"), "left")
+    rows = with_ledger(docs, ledger_path, text, keep_text=True) if ledger_path else findings(docs, text, keep_text=True)[1]
 
     def fold(done: Column, span: Column) -> Column:
         before = F.substring(F.col(text), done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
@@ -156,22 +203,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(F.array_sort("__spans"), start, fold, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
-    out = joined.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text)))
+    some = F.size("__spans") > 0
+    out = rows.withColumn(text, F.when(some, masked).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def scan_blobs(docs: DataFrame, text: str) -> DataFrame:
-    """(__hit, __spans): the blobs of docs in which something was found."""
-    id_free = docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text"))
-    new, _ = findings(id_free)
-    hits = new.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
-    return hits.select(F.col("blob").alias("__hit"), F.col("spans").alias("__spans"))
-
-
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Through the ledger of sf_dir: a second run over the same folder scans only what is new there."""
+    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), ledger_of(spark, sf_dir))
 
 
 def oracle() -> str:

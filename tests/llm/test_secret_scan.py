@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 
-from marlstone.llm.secret_scan import MASK, RULES, redact, scan_with_ledger, secrets
+from marlstone.llm import secret_scan
+from marlstone.llm.secret_scan import MASK, RULES, ledger_of, op8_secret_scan, redact, secrets, version, with_ledger
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -41,15 +42,47 @@ def test_base_spans(spark):
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    one = scan_with_ledger(frame([(1, "token = abcdef"), (2, "clean"), (3, "token = abcdef")]), path)
+    one = secrets(frame([(1, "token = abcdef"), (2, "clean"), (3, "token = abcdef")]), path)
     assert sorted((r.doc_id, r.n_assign) for r in one.collect()) == [(1, 1), (2, 0), (3, 1)]
     assert spark.read.parquet(path).count() == 2
-    two = scan_with_ledger(frame([(4, "clean"), (5, "token = abcdef"), (6, "secret: uvwxyz")]), path)
+    two = secrets(frame([(4, "clean"), (5, "token = abcdef"), (6, "secret: uvwxyz")]), path)
     assert sorted((r.doc_id, r.n_assign) for r in two.collect()) == [(4, 0), (5, 1), (6, 1)]
     assert spark.read.parquet(path).count() == 3
     spark.read.parquet(path).selectExpr("blob", "0 AS rule_version", "spans").write.parquet(path + "0")
-    scan_with_ledger(frame([(1, "clean")]), path + "0").collect()
+    secrets(frame([(1, "clean")]), path + "0").collect()
     assert spark.read.parquet(path + "0").count() == 4
+    changed = (*RULES[:-1], RULES[-1]._replace(pattern="x+"))
+    assert version(changed) != version(RULES) == version(tuple(RULES))
+    with_ledger(frame([(1, "clean"), (2, "xx")]), path, rules=changed).collect()
+    assert spark.read.parquet(path).groupBy("rule_version").count().count() == 2
+
+
+def test_findings_come_from_the_ledger(spark, tmp_path):
+    """A blob that is in the ledger isn't scanned: what the ledger says of it is what comes out."""
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "token = abcdef"), (2, "token = ghijkl")], "doc_id long, text string")
+    secrets(df, path).collect()
+    spark.read.parquet(path).selectExpr("blob", "rule_version", "transform(spans, s -> named_struct('start', 1, 'rank', s.rank, 'end', 2)) AS spans").write.parquet(path + "1")
+    more = df.unionByName(spark.createDataFrame([(3, "token = mnopqr")], "doc_id long, text string"))
+    assert {r.doc_id: r.spans for r in secrets(more, path + "1").collect()} == {1: "assign:1:2", 2: "assign:1:2", 3: "assign:0:14"}
+
+
+def test_the_query_keeps_its_ledger(spark, tmp_path):
+    spark.createDataFrame([(1, "token = abcdef"), (2, "clean")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = sorted(op8_secret_scan(spark, str(tmp_path)).collect())
+    path = ledger_of(spark, str(tmp_path))
+    assert spark.read.parquet(path).count() == 2
+    spark.createDataFrame([(3, "secret: uvwxyz"), (4, "clean")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(op8_secret_scan(spark, str(tmp_path)).collect())[:2] == first and spark.read.parquet(path).count() == 3
+
+
+def test_crowded_bitmap(spark, monkeypatch):
+    """With two bits for all blobs nearly every row is a false alarm; the results are the same."""
+    rows = [(i, t) for i, t in enumerate(texts()[:60] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(secrets(df).collect())
+    monkeypatch.setattr(secret_scan, "BITS", 2)
+    assert sorted(secrets(df).collect()) == want
 
 
 def test_redaction(spark):

@@ -6,22 +6,29 @@ can share a tile at all. For those, running Karp-Rabin greedy string tiling
 down to min_words; the share of an item's words under tiles is its coverage.
 Tiles may stand anywhere, so a passage with its parts reordered is caught.
 
+A tile of n words holds n - min_words + 1 seeds, so an item that is covered enough
+shares a number of its seeds at least; leaving out that many less one, the
+commonest, it is found by the rest (prefix). A pair is tiled only if the item's
+words under shared seeds are enough. So a seed that all items have costs nothing.
+
 It is one pass over the documents without a shuffle. The test items go to the
-executors in blocks of at most block_chars characters: a benchmark beyond that
-takes one pass for each block.
+executors in blocks of at most block_chars characters, one after the other: a
+benchmark beyond that takes one pass for each block.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, class_table, lower_table, shingles, text_chunks, word_bounds
+from .common import WordHasher, class_table, lower_table, materialise, shingles, text_chunks, word_bounds
 
 MIN_WORDS = 5
 MIN_COVERAGE = 0.8
@@ -30,49 +37,54 @@ SCHEMA = "n_tiles long, covered_words long, item_words long, coverage double"
 
 
 def tile(item: list[int], text: list[int], min_words: int, first: int = 64) -> list[tuple[int, int, int]]:
-    """Tiles (item start, text start, length), longest first. Negative words match nothing.
+    """Tiles (item start, text start, length), strictly longest first; of equal ones the first in the item, then in the text. Negative words match nothing.
 
-    Each round looks for matches of the current length or more by rolling
-    hashes over the unmarked words, marks them from the longest down, and
-    halves the length until min_words.
+    Each round looks for matches of the current length or more by rolling hashes
+    over the unmarked words and marks them from the longest down. A match that a
+    tile cuts into goes back among the others with what is left of it. Then the
+    length is halved, until min_words.
     """
-    free_item = [w >= 0 for w in item]
-    free_text = [w >= 0 for w in text]
+    free_item = bytearray(w >= 0 for w in item)
+    free_text = bytearray(w >= 0 for w in text)
     tiles: list[tuple[int, int, int]] = []
     length = max(min_words, min(first, len(item)))
     while True:
         found: list[tuple[int, int, int]] = []
-        longest = 0
         places = defaultdict(list)
         for start, value in _rolling(text, free_text, length):
             places[value].append(start)
         for i, value in _rolling(item, free_item, length):
+            inside = i and free_item[i - 1]
             for j in places.get(value, ()):
+                if inside and j and free_text[j - 1] and item[i - 1] == text[j - 1]:
+                    continue  # part of the match that begins a word earlier
                 k = 0
-                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and free_item[i + k] and free_text[j + k]:
+                for x, y, f, g in zip(item[i:], text[j:], free_item[i:], free_text[j:], strict=False):
+                    if x != y or not f or not g:
+                        break
                     k += 1
                 if k >= length:
-                    found.append((i, j, k))
-                    longest = max(longest, k)
-        if longest > 2 * length:
-            length = longest
-            continue
-        clipped = False
-        for i, j, k in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-            if all(free_item[i : i + k]) and all(free_text[j : j + k]):
-                free_item[i : i + k] = [False] * k
-                free_text[j : j + k] = [False] * k
-                tiles.append((i, j, k))
-            else:
-                clipped = True
-        if clipped:
-            continue
+                    found.append((-k, i, j))
+        heapify(found)
+        while found:
+            k, i, j = heappop(found)
+            at = 0
+            while at < -k:
+                end = at
+                while end < -k and free_item[i + end] and free_text[j + end]:
+                    end += 1
+                if end == -k and at == 0:
+                    free_item[i : i + end] = free_text[j : j + end] = bytes(end)
+                    tiles.append((i, j, end))
+                elif end - at >= length:
+                    heappush(found, (at - end, i + at, j + at))
+                at = end + 1
         if length == min_words:
             return tiles
         length = max(min_words, length // 2)
 
 
-def _rolling(words: list[int], free: list[bool], length: int) -> Iterator[tuple[int, int]]:
+def _rolling(words: list[int], free: bytearray, length: int) -> Iterator[tuple[int, int]]:
     """(start, Karp-Rabin hash) of each run of so many free words."""
     base, mod = 1_000_003, (1 << 61) - 1
     top = pow(base, length, mod)
@@ -92,12 +104,13 @@ def _rolling(words: list[int], free: list[bool], length: int) -> Iterator[tuple[
 class Block:
     """A bounded block of test items with their seeds."""
 
-    def __init__(self, items: list[tuple[object, str]], min_words: int) -> None:
-        self.min_words = min_words
+    def __init__(self, items: list[tuple[object, str]], min_words: int, min_coverage: float) -> None:
+        self.min_words, self.min_coverage = min_words, min_coverage
         hasher, is_word, lower = WordHasher(), class_table("alnum"), lower_table()
         self.ids: list[object] = []
         self.words: list[np.ndarray] = []
-        seeds: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        self.own: list[np.ndarray] = []  # the seed at each place of an item
+        widths: dict[int, list[int]] = {}
         for item_id, text in items:
             data = lower[np.frombuffer((text or "").encode(), dtype=np.uint8)]
             starts, ends, _ = word_bounds(data, np.array([0, len(data)]), is_word)
@@ -105,47 +118,60 @@ class Block:
             if not len(words):
                 continue
             width = min(min_words, len(words))
-            hashes = np.unique(shingles(words, width))
-            own = seeds.setdefault(width, ([], []))
-            own[0].append(hashes)
-            own[1].append(np.full(len(hashes), len(self.ids)))
+            widths.setdefault(width, []).append(len(self.ids))
             self.ids.append(item_id)
             self.words.append(words)
+            self.own.append(shingles(words, width))
         self.seeds = {}
-        for width, (hashes, owners) in seeds.items():
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+        for width, members in widths.items():
+            h = np.concatenate([np.unique(self.own[i]) for i in members])
+            unique, count = np.unique(h, return_counts=True)
+            posted = [self.rarest(i, width, unique, count) for i in members]
+            h, o = np.concatenate(posted), np.repeat(members, [len(x) for x in posted])
             order = np.argsort(h, kind="stable")
             sieve = np.zeros(1 << 20, bool)
             sieve[(h >> np.uint64(44)).astype(np.int64)] = True
             self.seeds[width] = (h[order], o[order], sieve)
 
+    def rarest(self, i: int, width: int, unique: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The seeds under which an item is found: all but so many common ones as it can lack and yet be covered."""
+        own, times = np.unique(self.own[i], return_counts=True)
+        common = count[np.searchsorted(unique, own)]
+        order = np.lexsort((own, -common))
+        spare = math.ceil(math.ceil(self.min_coverage * len(self.words[i])) / width) - 1
+        return own[order][np.cumsum(times[order]) > spare]
+
     def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, tiles, covered words) for each item that shares a seed with the words of a document."""
-        places = defaultdict(list)
+        """(item, tiles, covered words) for each item that the words of a document may cover enough."""
         for width, (hashes, owners, sieve) in self.seeds.items():
             if len(words) < width:
                 continue
             own = shingles(words, width)
-            at = np.flatnonzero(sieve[(own >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], side="right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for k in range(a, b):
-                    places[int(owners[k])].append((p, p + width))
-        for item, runs in places.items():
-            kept: list[int] = []  # only the words under seeds can lie under a tile
-            end = -1
-            for a, b in sorted(runs):
-                if a > end:
-                    kept.append(-1)
-                kept.extend(int(w >> np.uint64(4)) for w in words[max(a, end) : b])
-                end = max(end, b)
-            own = [int(w >> np.uint64(4)) for w in self.words[item]]
-            tiles = tile(own, kept, min(self.min_words, len(own)))
-            yield item, len(tiles), sum(k for _, _, k in tiles)
+            some = np.unique(own[sieve[(own >> np.uint64(44)).astype(np.int64)]])
+            low, high = np.searchsorted(hashes, some), np.searchsorted(hashes, some, side="right")
+            items = np.unique(np.concatenate([owners[a:b] for a, b in zip(low, high, strict=True)])) if len(some) else ()
+            there = np.unique(own) if len(items) else own
+            for item in map(int, items):
+                seeds = self.own[item]
+                under = np.zeros(len(self.words[item]) + 1, np.int64)
+                shared = np.flatnonzero(there[np.minimum(np.searchsorted(there, seeds), len(there) - 1)] == seeds)
+                np.add.at(under, shared, 1)
+                np.add.at(under, shared + width, -1)
+                if (np.cumsum(under) > 0).sum() < self.min_coverage * len(self.words[item]):
+                    continue
+                kept: list[int] = []  # only the words under seeds can lie under a tile
+                end = -1
+                for a in np.flatnonzero(np.isin(own, seeds)).tolist():
+                    if a > end:
+                        kept.append(-1)
+                    kept.extend((words[max(a, end) : a + width] >> np.uint64(4)).tolist())
+                    end = a + width
+                tiles = tile((self.words[item] >> np.uint64(4)).tolist(), kept, width)
+                yield item, len(tiles), sum(k for _, _, k in tiles)
 
 
 def blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about block_chars characters, so that what is sent out stays bounded."""
+    """The items in blocks of about block_chars characters, read one by one, so that what is sent out stays bounded."""
     total = items.agg(F.sum(F.length(text))).first()[0] or 0
     n = -(-total // block_chars) or 1
     for k in range(n):
@@ -159,13 +185,19 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. An
     item of fewer than min_words words must appear as a whole. Null or empty
     texts and items without words match nothing; repeated rows each give their
-    own result; a null id is carried through; other columns are ignored.
+    own result; a null id is carried through; texts of any length are read whole;
+    matches of one length are marked in the order of the item, then of the text.
+    Other columns are ignored. With several blocks, each one's rows are written to
+    the shared folder and its items are let go before the next one is read.
     """
     spark = docs.sparkSession
     id_type = items.schema[item_id].dataType.simpleString()
-    out = None
+    out, before = None, None
     for block in blocks(items, item_id, item_text, block_chars):
-        held = spark.sparkContext.broadcast(Block(block, min_words))
+        if before is not None:
+            out = materialise(out, "block")
+            before.destroy()
+        held = before = spark.sparkContext.broadcast(Block(block, min_words, min_coverage))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             hasher, is_word, lower, block = WordHasher(), class_table("alnum"), lower_table(), held.value

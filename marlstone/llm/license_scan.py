@@ -10,6 +10,7 @@ exact word runs. It is one pass without a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -103,11 +104,12 @@ class Search:
         for i, spans in regions.items():
             for low, high in spans:
                 found += self.places(i, text, low, min(high, len(text)))
-        kept: list[tuple[int, int, int, int]] = []  # of overlapping notices, the one with the smallest share of errors
-        for x in sorted(found, key=lambda x: (x[3] / len(self.notices[x[0]].words), x[1] - x[2], x[1], x[0])):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[1])
+        kept: list[tuple[int, int, int, int]] = []  # of overlapping notices, the one with the smallest share of errors; in order of place
+        for i, *x in sorted(found, key=lambda x: (x[3] / len(self.notices[x[0]].words), x[1] - x[2], x[1], x[0])):
+            at = bisect_left(kept, x[0], key=lambda y: y[1])
+            if (at == 0 or kept[at - 1][2] <= x[0]) and (at == len(kept) or kept[at][1] >= x[1]):
+                kept.insert(at, (i, *x))
+        return kept
 
 
 def base_places(words: list[str]) -> list[tuple[int, str]]:
@@ -123,8 +125,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: t
     """One row for each document row: word count, exact phrases, labels, score and the notices' spans in code points.
 
     score: 1 with an exact phrase or notice, else the largest 1 - errors / length
-    of a notice found, else 0. Null texts are empty; repeated rows each give their
-    own result; a null id is carried through; other columns are ignored.
+    of a notice found, else 0. Null texts are empty; texts of any length are read
+    whole; of overlapping notices the one with the smaller share of errors counts,
+    then the longer, then the first. Repeated rows each give their own result; a
+    null id is carried through; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import re
+import time
 
 from marlstone.llm.license_scan import NOTICES, PHRASES, Search, scan, split
 
@@ -54,3 +55,16 @@ def test_neighbours_of_a_better_copy_are_kept():
             assert [x[3] for x in found if search.notices[x[0]] == n] == [x[2] for x in want if any(y[0] == NOTICES.index(n) and y[1] == x[0] for y in found)]
     text = "all rights reservd all rights reservd all rights reserved"
     assert [x[1:] for x in search.find(text)] == [(0, 18, 1), (19, 37, 1), (38, 57, 0)]
+
+
+def test_very_many_notices():
+    """8,000 notices in a text of one row: all of them, in order, soon."""
+    began = time.time()
+    found = Search(NOTICES).find("all rights reserved " * 8000)
+    assert [x[1] for x in found] == [20 * k for k in range(8000)] and time.time() - began < 8
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000 + "Released undr the MIT License"
+    r = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, [s.start for s in r.spans]) == (400_005, 1, 400_003, [2_000_000])

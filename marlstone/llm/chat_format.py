@@ -27,8 +27,7 @@ NAMES = {
 }
 MARKER = re.compile(r"\s{0,3}(?:<\|?|\[|\*\*|#{1,4} {0,2})?(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")(?:\|?>|\]|\*\*)?\s{0,2}(?:[:>]|(?<=[>\]*])(?!\S)|(?<=[>\]])) ?", re.I)
 STATES = [(r, opening) for r in range(len(ROLES)) for opening in (True, False)]
-#: Turn numbers of a stretch, in which format_conversations hands out a conversation; decoding runs over all of it.
-STRETCH = 1024
+SCHEMA = "n_turns long, n_parsed long, n_unknown long, n_same long, roles string, rendered string"
 SHAPES = 16
 FLOOR = 1e-3
 
@@ -147,49 +146,48 @@ def line_shapes(conversations: DataFrame) -> DataFrame:
 
 
 def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(conv_id, parts) of each transcript (conv_id, stretches, lines), decoded as a whole.
+    """Each transcript (conv_id, given, lines), decoded as a whole: what came in, what came back, and how it is rendered.
 
-    A part holds what begins in a stretch: (stretch, n_turns put in, n_parsed,
-    roles, rendered). A turn that goes on over a cut is in the part where it
-    begins, so parts in a row are the whole conversation. Empty texts have no turns.
+    given are the roles of the turns put in, lines their texts with markers.
+    n_unknown turns had no role that NAMES knows; of the others, n_same came back
+    with their role from their first line on. Empty texts have no turns.
     """
     held = transcripts.sparkSession.sparkContext.broadcast(model or defaults())
 
-    def split(stretches: list[int], lines: list[str], own: Model) -> list[dict]:
+    def decode(given: list[str | None], lines: list[str], own: Model) -> tuple:
         found, first = placed_turns("\n".join(lines), own)
-        ends = np.cumsum([x.count("\n") + 1 for x in lines])
-        by: dict[int, tuple[list[int], list[dict]]] = {}
-        for s in stretches:
-            by.setdefault(s, ([0], []))[0][0] += 1
-        for t, k in zip(found, np.searchsorted(ends, first, side="right").tolist(), strict=True):
-            by[stretches[k]][1].append(t)
-        return [{"stretch": s, "n_turns": n, "n_parsed": len(ts), "roles": ",".join(t["role"] for t in ts), "rendered": render(ts)} for s, ((n,), ts) in by.items()]
+        begins = np.cumsum([0] + [x.count("\n") + 1 for x in lines[:-1]]).tolist()
+        back = dict(zip(first, (t["role"] for t in found), strict=True))
+        known = [NAMES.get((r or "").strip().lower()) for r in given]
+        same = sum(r is not None and back.get(b) == r for r, b in zip(known, begins, strict=True))
+        return len(lines), len(found), known.count(None), same, ",".join(t["role"] for t in found), render(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        kind = pa.list_(pa.struct([("stretch", pa.int64()), ("n_turns", pa.int64()), ("n_parsed", pa.int64()), ("roles", pa.string()), ("rendered", pa.string())]))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [split(s, x, own) for s, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["conv_id", "parts"])
+                found = [decode(g, x, own) for g, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["conv_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
 
     schema = f"conv_id {transcripts.schema['conv_id'].dataType.simpleString()}"
-    return transcripts.select("conv_id", "stretches", "lines").mapInArrow(run, f"{schema}, parts array<struct<stretch:long,n_turns:long,n_parsed:long,roles:string,rendered:string>>")
+    return transcripts.select("conv_id", "given", "lines").mapInArrow(run, f"{schema}, {SCHEMA}")
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations as plain text, a string for each turn, with the stretch of its turn number: (conv_id, stretches, lines).
+    """Conversations as plain text, a string for each turn: (conv_id, given, lines).
 
-    Null roles leave their turns unmarked; null texts are empty; a null turn
-    comes first, as part of the first stretch; ties go by role and text; rows without a
-    conversation id are one conversation without an id for each first character of their text's hash.
+    Null roles leave their turns unmarked; roles that NAMES doesn't know stand
+    before theirs as any text; null texts are empty; null turns come first; ties
+    go by role and text. A row without a conversation id is a conversation of its
+    own. All turns of a conversation come to one row, as its rendered text does.
     """
     line = F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit("")))
-    lost = F.when(F.col("conv_id").isNull(), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1))
-    grouped = conversations.select("conv_id", lost.alias("lost"), F.struct("turn", "role", line.alias("line")).alias("x")).groupBy("conv_id", "lost").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    first = F.least(F.lit(0), F.floor(F.array_min(F.transform("xs", lambda x: x["turn"])) / STRETCH))
-    return grouped.select("conv_id", F.transform("xs", lambda x: F.coalesce(F.floor(x["turn"] / STRETCH), first, F.lit(0)).cast("long")).alias("stretches"), F.transform("xs", lambda x: x["line"]).alias("lines"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = conversations.select("conv_id", alone.alias("alone"), F.struct("turn", "role", line.alias("line")).alias("x")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return grouped.select("conv_id", F.transform("xs", lambda x: x["role"]).alias("given"), F.transform("xs", lambda x: x["line"]).alias("lines"))
 
 
 def fit(shapes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,21 +200,15 @@ def fit(shapes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, move, np.log(counts / counts.sum(1, keepdims=True))
 
 
-def decoded(conversations: DataFrame) -> DataFrame:
-    return parse(transcripts(conversations), model=fit(line_shapes(conversations)))
-
-
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation and stretch: turns put in and recovered, roles and rendered text of what begins there."""
-    return decoded(conversations).select("conv_id", F.explode("parts").alias("x")).select("conv_id", "x.*")
+    """One row for each conversation: turns put in, recovered, of unknown role and recovered alike, roles and rendered text.
 
-
-def whole_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation: turns put in and recovered, roles and rendered text."""
-    total = lambda name: F.aggregate(f"parts.{name}", F.lit(0).cast("long"), lambda a, x: a + x).alias(name)
-    roles = F.array_join(F.filter("parts.roles", lambda x: x != ""), ",").alias("roles")
-    return decoded(conversations).select("conv_id", total("n_turns"), total("n_parsed"), roles, F.array_join("parts.rendered", "").alias("rendered"))
+    Turns whose text holds lines that look like markers come back as more turns
+    than were put in; n_parsed and n_same tell. Texts of any length are decoded
+    whole. An empty table gives no rows. Other columns are ignored.
+    """
+    return parse(transcripts(conversations), model=fit(line_shapes(conversations)))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

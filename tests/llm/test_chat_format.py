@@ -42,31 +42,41 @@ def test_turns_and_rendering():
     assert turns("", Model(*defaults())) == []
 
 
+def plain(rows, model):
+    """conv_id -> what its row must hold; rows without an id each on their own."""
+    out = []
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(r[0] if r[0] is not None else ("row", k), []).append(r)
+    for own in groups.values():
+        own = sorted(own, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        lines = [(f"{r[2]}: " if r[2] is not None else "") + (r[3] or "") for r in own]
+        want = turns("\n".join(lines), model)
+        out.append((own[0][0], len(own), len(want), ",".join(t["role"] for t in want), render(want)))
+    return sorted(out, key=str)
+
+
 def test_conversations(spark):
-    rows = [(1, 0, "user", "hello\nthere", "x"), (1, 1, "assistant", "hi", "x"), (1, 1, "assistant", "hi", "x"), (2, 0, None, "lonely", "x"), (3, None, "user", None, "x"), (None, 0, "user", "q", "x"), (4, 2000, "assistant", "late", "x"), (4, 0, "user", "early " * 5000, "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
-    out = {(r.conv_id, r.stretch): r for r in format_conversations(df).collect()}
-    assert len(out) == 6 and out[(1, 0)].roles == "user,assistant,assistant" and out[(1, 0)].n_turns == 3
-    assert "hello\nthere" in out[(1, 0)].rendered and out[(4, 1)].roles == "assistant"
-    assert set(r for x in out.values() for r in x.roles.split(",")) <= set(ROLES) | {""}
+    rows = [(1, 0, "user", "hello\nthere", "x"), (1, 1, "assistant", "hi", "x"), (1, 1, "assistant", "hi", "x"), (2, 0, None, "lonely", "x"), (3, None, "user", None, "x"), (None, 0, "user", "q", "x"), (None, 1, "assistant", "r", "x"), (None, 0, "user", "q", "x"), (4, 2000, "assistant", "late", "x"), (4, 0, "user", "early " * 200_000, "x"), (5, 0, "tool", "result", "x"), (5, 1, "user", "fine\nuser: x\nBot: y", "x"), (5, 2, "Human", "z", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, roles string")
+    out = format_conversations(df).collect()
+    assert sorted(((r.conv_id, r.n_turns, r.n_parsed, r.roles, r.rendered) for r in out), key=str) == plain(rows, Model(*fit(line_shapes(df))))
+    got = {r.conv_id: r for r in out}
+    assert got[1].roles == "user,assistant,assistant" and (got[1].n_turns, got[1].n_same, got[1].n_unknown) == (3, 3, 0)
+    assert (got[5].n_turns, got[5].n_parsed, got[5].n_unknown, got[5].n_same) == (3, 5, 1, 2)
+    assert sum(r.conv_id is None for r in out) == 3 and set(r for x in out for r in x.roles.split(",")) <= set(ROLES) | {""}
     assert format_conversations(df.limit(0)).count() == 0
 
 
 def test_one_decoding_over_all_turns(spark, tmp_path):
-    """Unmarked turns at a multiple of 1024 go on with the turn before; a conversation is one row."""
+    """Unmarked turns anywhere in a long conversation go on with the turn before; a conversation is one row."""
     names = ("user", "assistant")
     rows = [(1, i, None if i in (1024, 1025, 2048, 2049) or 3072 <= i < 4200 else "tool" if i == 1500 else names[i % 2], f"turn {i}") for i in range(4300)]
     rows += [(2, -1, "user", "before"), (2, 0, None, "after"), (2, None, "system", "null"), (3, 0, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
-    model = Model(*fit(line_shapes(df)))
-    got = {r.conv_id: r for r in op5_chat_format(spark, str(tmp_path)).collect()}
-    parts = format_conversations(df).collect()
-    assert len(got) == 3 and len(parts) == 8 and (got[3].n_turns, got[3].n_parsed, got[3].roles, got[3].rendered) == (1, 0, "", "")
-    for c in (1, 2):
-        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1]))
-        want = turns("\n".join((f"{r[2]}: " if r[2] else "") + r[3] for r in own), model)
-        assert (got[c].n_turns, got[c].n_parsed) == (len(own), len(want))
-        assert got[c].roles == ",".join(t["role"] for t in want) and got[c].rendered == render(want)
-        assert "".join(r.rendered for r in sorted((r for r in parts if r.conv_id == c), key=lambda r: r.stretch)) == render(want)
+    out = op5_chat_format(spark, str(tmp_path)).collect()
+    assert sorted(((r.conv_id, r.n_turns, r.n_parsed, r.roles, r.rendered) for r in out), key=str) == plain(rows, Model(*fit(line_shapes(df))))
+    got = {r.conv_id: r for r in out}
+    assert (got[3].n_turns, got[3].n_parsed, got[3].roles, got[3].rendered) == (1, 0, "", "")
     assert "turn 1023\nturn 1024\nturn 1025\n" in got[1].rendered and "turn 2047\nturn 2048\n" in got[1].rendered

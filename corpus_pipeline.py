@@ -14,7 +14,7 @@ from marlstone.llm.common import materialise, table
 from marlstone.llm.decontamination import clean
 from marlstone.llm.minhash_dedup import keep_one
 from marlstone.llm.piece_codec import encode
-from marlstone.llm.secret_scan import redact
+from marlstone.llm.secret_scan import ledger_of, redact
 from marlstone.llm.toxicity import keep_clean
 
 
@@ -34,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
-    return redact(docs)
+    """All documents, with secrets masked; texts that the ledger of sf_dir has are not scanned again."""
+    return redact(docs, ledger_of(spark, sf_dir))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

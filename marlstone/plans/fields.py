@@ -201,7 +201,7 @@ def show_values(t: Tables) -> DataFrame:
     return t.labels.select("doc_id", N.shown(kind, value).alias("shown"), N.percent(F.col("doc_id") % 200 / 199.0).alias("percent"))
 
 
-@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'float' ELSE 'text' END ELSE 'lab' END AS kind, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'Positif' WHEN doc_id % 3 = 0 THEN CASE WHEN quality = 1 THEN 'true' ELSE 'false' END WHEN doc_id % 3 = 1 THEN quality || '.0000001' ELSE 'Voie-Basse ' || quality END END AS got, CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN CASE WHEN toxic = 1 THEN 'négatif' ELSE 'positif' END WHEN doc_id % 3 < 2 THEN toxic::VARCHAR ELSE 'voie basse' || toxic END END AS expected, quality AS q, toxic AS x FROM labels)
+@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'float' ELSE 'text' END ELSE 'lab' END AS kind, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'Positif' WHEN doc_id % 3 = 0 THEN CASE WHEN quality = 1 THEN 'true' ELSE 'false' END WHEN doc_id % 3 = 1 THEN quality || '.0000001' ELSE 'Voie-Basse ' || quality END END AS got, CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN CASE WHEN toxic = 1 THEN 'négatif' ELSE 'positif' END WHEN doc_id % 3 < 2 THEN toxic::VARCHAR WHEN doc_id % 13 = 0 THEN 'v�ie bas�e' || toxic ELSE 'voie basse' || toxic END END AS expected, quality AS q, toxic AS x FROM labels)
 SELECT doc_id, CASE WHEN expected IS NULL THEN got IS NULL WHEN got IS NULL THEN false WHEN kind = 'lab' THEN x = 0 ELSE q = x END AS matched FROM x""")
 def reading_match(t: Tables) -> DataFrame:
     """Whether readings equal the expected values, by the field's type."""
@@ -209,7 +209,7 @@ def reading_match(t: Tables) -> DataFrame:
     lab, k = d % 5 == 0, d % 3
     kind = F.when(lab, "lab").when(k == 0, "bool").when(k == 1, "float").otherwise("text")
     got = F.when(lab, "Positif").when(k == 0, (F.col("quality") == 1).cast("string")).when(k == 1, F.concat(q, F.lit(".0000001"))).otherwise(F.concat(F.lit("Voie-Basse "), q))
-    expected = F.when(lab, F.when(F.col("toxic") == 1, "négatif").otherwise("positif")).when(k < 2, x).otherwise(F.concat(F.lit("voie basse"), x))
+    expected = F.when(lab, F.when(F.col("toxic") == 1, "négatif").otherwise("positif")).when(k < 2, x).when(d % 13 == 0, F.concat(F.lit("v\ufffdie bas\ufffde"), x)).otherwise(F.concat(F.lit("voie basse"), x))
     return t.labels.select("doc_id", P.matches(kind, F.when(d % 7 != 0, got), F.when(d % 11 != 0, expected)).alias("matched"))
 
 
@@ -436,3 +436,77 @@ def flag_boost(t: Tables) -> DataFrame:
     status = F.when(F.col("quality") == 1, S.KNOWN).otherwise(S.REVIEW)
     note, bad = F.when(F.col("doc_id") % 5 == 0, "valeur hors plage").otherwise(""), flag_of(F.col("toxic") == 1)
     return t.labels.select("doc_id", F.when(bad, S.flagged(status, bad)).otherwise(S.boosted(status, ~bad, note)).alias("status"))
+
+
+@query("""SELECT p_partkey, CASE WHEN f LIKE 'g\\_%' ESCAPE '\\' THEN false ELSE i >= 2 OR (p = 'cover' AND f IN ('fiche_number', 'region', 'province', 'facility')) END AS asked FROM (SELECT p_partkey, (p_partkey % 4)::INT AS i, CASE WHEN p_size % 2 = 0 THEN 'cover' ELSE 'pregnancy' END AS p, (['g_weight_m7', 'region', 'age', 'facility', 'gx'])[p_partkey % 5 + 1] AS f FROM part)""")
+def manual_questions(t: Tables) -> DataFrame:
+    """Which fields are asked for when a page is typed in."""
+    k = F.col("p_partkey")
+    field = F.element_at(F.array(*map(F.lit, ("g_weight_m7", "region", "age", "facility", "gx"))), (k % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", P.manual(F.when(F.col("p_size") % 2 == 0, "cover").otherwise("pregnancy"), field, k % 4).alias("asked"))
+
+
+NAMES = ("education", "region", "fh_1", "hx_medical", "pd1_mode", "xcs_indication", "del_complications", "g_conjunctiva_m7", "g_breasts_t1v1", "g_cervix_m8", "g_presentation_m9", "g_skeleton_m7", "g_speculum_m7", "g_pelvis_m7", "ob_1_place", "x_place", "pme_scar", "nb_decision", "nb_anomaly", "nb_sex", "cervical_screening", "age", "hx_mode")
+LISTS = ("education", "region", "family", "hx", "delivery_mode", "cs_indication", "complication", "conjunctiva", "breasts", "cervix", "presentation", "exam", "exam", "exam", "place", "common", "scar", "decision", "nb_anomaly", "sex", "screening", "common", "hx")
+
+
+@query(f"SELECT p_partkey, n.lexicon FROM part JOIN (VALUES {', '.join(f'({i}, {x!r})' for i, x in enumerate(LISTS))}) n(i, lexicon) ON p_partkey % {len(NAMES)} = n.i")
+def lexicon_choice(t: Tables) -> DataFrame:
+    """The word list of each field, by rules on its name."""
+    field = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    return t.part.select("p_partkey", P.lexicon_of(field).alias("lexicon"))
+
+
+@query("""WITH x AS (SELECT event_id, value AS a, value * 3 AS b, value / 2 AS c, (value * 20)::BIGINT AS p FROM events) SELECT event_id, concat_ws(',', CASE WHEN a < 60 THEN 'blur' END, CASE WHEN b < 60 THEN 'dark' END, CASE WHEN b > 235 THEN 'overexposed' END, CASE WHEN c < 25 THEN 'low_contrast' END, CASE WHEN p < 900 THEN 'low_resolution' END) AS issues FROM x""")
+def image_gate(t: Tables) -> DataFrame:
+    """What is wrong with captures whose metrics follow the events' values."""
+    v = F.col("value")
+    return t.events.select("event_id", F.array_join(P.image_issues(v, v * 3, v / 2, F.round(v * 20).cast("long")), ",").alias("issues"))
+
+
+@query(f"""SELECT page, string_agg(field_id || ' | ' || upper(field_id) || ' | ' || CASE WHEN kind = 'check' THEN '{P.CHECKBOX}' ELSE type END, chr(10) ORDER BY place) AS schema FROM (SELECT *, row_number() OVER () AS place FROM {SPECS_SQL}) GROUP BY page""")
+def page_schema(t: Tables) -> DataFrame:
+    """The lines that tell a model which fields a page has."""
+    rows = [(*x, i, x.field_id.upper()) for i, x in enumerate(SPECS)]
+    return P.page_schemas(t.spark.createDataFrame(rows, P.SCHEMA + ", place int, label string"))
+
+
+SAID = ("KNOWN", "known", "NOT_APPLICABLE", "ILLEGIBLE", "weird", "NOT_PROVIDED")
+
+
+@query(f"""WITH x AS (SELECT doc_id, doc_id % 2 = 0 AS a, upper((['{"', '".join(SAID)}'])[doc_id % 6 + 1]) AS said, least(doc_id % 15 / 10.0, 1.0)::DOUBLE AS c, doc_id % 3 = 0 AS tick FROM labels WHERE doc_id % 11 <> 0), s AS (SELECT *, CASE WHEN said = 'WEIRD' THEN 'NEEDS_REVIEW' ELSE said END AS st FROM x)
+SELECT doc_id, 'quantity' AS field_id, CASE st WHEN 'NOT_APPLICABLE' THEN '—' WHEN 'KNOWN' THEN '12' WHEN 'NEEDS_REVIEW' THEN '12' END AS value, CASE WHEN st = 'NEEDS_REVIEW' THEN least(c, 0.7) ELSE c END AS confidence, st = 'NOT_APPLICABLE' AS dash, CASE WHEN st = 'ILLEGIBLE' THEN st END AS hint, CASE WHEN st = 'NOT_PROVIDED' THEN 'blank' ELSE '' END AS note FROM s WHERE a
+UNION ALL SELECT doc_id, 'linenumber', NULL, 0.3, false, 'NEEDS_REVIEW', 'non renvoyé par le modèle' FROM s WHERE a UNION ALL SELECT doc_id, 'flag', tick::VARCHAR, CASE WHEN st = 'KNOWN' THEN c ELSE least(c, 0.6) END, false, NULL, '' FROM s WHERE NOT a""")
+def model_answers(t: Tables) -> DataFrame:
+    """Readings out of a model's answers: JSON in free text, with statuses and confidences that can't be taken as they are."""
+    d = F.col("doc_id")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (d % 6 + 1).cast("int"))
+    one = lambda v: F.struct(v.alias("value"), said.alias("status"), (d % 15 / 10.0).alias("confidence"))
+    a = F.struct(one(F.lit("12")).alias("quantity"), one(F.lit("x")).alias("zzz"))
+    c = F.struct(one(d % 3 == 0).alias("flag"))
+    json = F.when(d % 2 == 0, F.when(d % 4 == 0, F.to_json(F.struct(a.alias("fields")))).otherwise(F.to_json(a))).otherwise(F.when(d % 4 == 1, F.to_json(F.struct(c.alias("fields")))).otherwise(F.to_json(c)))
+    text = F.when(d % 11 == 0, "désolé").otherwise(F.concat(F.lit("Voici :\n"), json, F.lit("\nfin.")))
+    texts = t.labels.select("doc_id", F.when(d % 2 == 0, "a").otherwise("c").alias("page"), text.alias("text"))
+    return P.answers(texts, P.spec_table(t.spark, SPECS), "doc_id")
+
+
+@query(f"""{VALUES_SQL} SELECT r::VARCHAR AS record_id, CASE WHEN r % 2 = 0 THEN strftime(lmp, '%Y-%m-%d') END AS lmp, CASE WHEN r % 2 = 0 THEN strftime(edd, '%Y-%m-%d') END AS edd, CASE WHEN r % 2 = 0 THEN gravidity::DOUBLE::VARCHAR END AS gravidity FROM x""")
+def profile_projection(t: Tables) -> DataFrame:
+    """The fields that identify a person, where they are known."""
+    values = ruled_values(t).withColumn("value", F.coalesce("value_str", F.col("value_num").cast("string")))
+    return P.profile(values, ("lmp", "edd", "gravidity"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderstatus END AS v, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS ts FROM orders")
+def idempotent_delivery(t: Tables) -> DataFrame:
+    """Two batches delivered, the second one twice and with an older row of each key: the table is that of one delivery."""
+    from ..streaming.lifecycle import upsert_sink, upserted
+
+    at = files.shared_folder(t.spark)
+    write = upsert_sink(at, ["k"], "ts")
+    first = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), F.lit(1).alias("ts"))
+    some = first.where("k % 3 = 0")
+    second = some.withColumn("v", F.lit("again")).withColumn("ts", F.lit(2)).unionByName(some.withColumn("v", F.lit("old")).withColumn("ts", F.lit(0)))
+    for batch_id, batch in ((0, first), (1, second), (1, second)):
+        write(batch, batch_id)
+    return upserted(t.spark, at, ["k"], "ts")

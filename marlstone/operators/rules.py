@@ -46,9 +46,15 @@ def field_map(entries: str) -> Column:
     return F.map_from_entries(first)
 
 
+def used() -> list[str]:
+    """The fields that rules look at."""
+    pairs = [f"g_{row}_{v}" for row in ("visit_date", "ga") for v in VISITS]
+    return ["lmp", "edd", "term_date", *pairs, "gravidity", "parity", "living_children", *(f for g in EXCLUSIVE for f in g), *sorted({s for _, switches, _ in NEEDS for s in switches})]
+
+
 def findings() -> Column:
-    """All (field, action, note) that the rules have to say about column v."""
-    at = lambda f: F.col("v")[f]
+    """All (field, action, note) that the rules have to say about the columns of used()."""
+    at = F.col
     day = lambda f: F.when(F.length(at(f)["text"]) == 10, at(f)["text"].try_cast("date"))
     whole = lambda f: F.when(at(f)["number"] == F.floor(at(f)["number"]), at(f)["number"])
     out: list[Column] = []
@@ -89,7 +95,8 @@ def findings() -> Column:
 
 def consistent(values: DataFrame) -> DataFrame:
     """The values with status, confidence and note as the rules leave them."""
-    found = snapshot(values).select("record_id", F.inline(findings()))
+    fields = snapshot(values).select("record_id", *(F.col("v")[f].alias(f) for f in used()))
+    found = fields.select("record_id", F.inline(findings()))
     said = found.groupBy("record_id", "field_id").agg(F.max("action").alias("action"), F.max("why").alias("why"))
     j = values.join(said, ["record_id", "field_id"], "left")  # a row without a record or field has nothing said
     read = F.col("source").isin(*READ)

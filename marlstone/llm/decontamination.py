@@ -25,9 +25,10 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import without
 from .common import WordHasher, class_table, lower_table, materialise, shingles, text_chunks, word_bounds
 
 MIN_WORDS = 5
@@ -234,9 +235,8 @@ def suspects(words: np.ndarray, bounds: np.ndarray, block: Block) -> np.ndarray:
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item; their columns stay as they are. Documents without an id stay."""
-    bad = contamination(docs, items, **options).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct()
-    key: Column = docs[options.get("doc_id", "doc_id")]
-    return docs.join(bad, key == F.col("__bad"), "left_anti")
+    bad = contamination(docs, items, **options).select("doc_id").where("doc_id is not null").distinct()
+    return without(docs, options.get("doc_id", "doc_id"), materialise(bad, "contaminated"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

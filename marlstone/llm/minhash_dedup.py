@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, marked, without
 from .common import WordHasher, class_table, lower_table, materialise, mix, random64, shingles, text_chunks, whole_numbers, word_bounds
 from .components import components, join_hot
 from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, cut, decode, encode
@@ -371,6 +372,7 @@ def full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[first:end].take(at) for i in range(4)), pa.array(full, pa.binary())], names=["cluster", "doc_id", "hi", "lo", "full"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
+    texts = marked(texts, F.col("node"), bitmap(members.select("node")), "__maybe").where("__maybe").drop("__maybe")
     return texts.join(members.hint("shuffle_hash"), "node").select("cluster", F.col("node").alias("doc_id"), "hi", "lo", "text").mapInArrow(run, "cluster long, doc_id long, hi long, lo long, full binary").dropDuplicates(["doc_id", "hi", "lo"]).drop("hi", "lo")
 
 
@@ -444,10 +446,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
     """The document with the smallest id of each component: all its texts, each once. Rows without an id stay."""
-    marked = materialise(near_duplicates(docs, doc_id, text, size, threshold).where("doc_id is not null").select("doc_id", "kept"), "kept")
-    gone = marked.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    again = marked.where("kept").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    found = materialise(near_duplicates(docs, doc_id, text, size, threshold).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    kept = without(docs, doc_id, found.where("not kept").select("doc_id").distinct())
+    again = found.where("kept").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
     if again.isEmpty():
         return kept
     same = F.col(doc_id) == F.col("__again")

@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, marked
 from .common import materialise, shared_base
 from .components import join_hot
 
@@ -48,8 +49,6 @@ MORE = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@"),
 )
 RULES = BASE + MORE
-#: Bits of the bitmap of blobs that aren't alone, and of one row of it (as bitmap_construct_agg has them): 4 MB in all.
-BITS, ROW_BITS = 1 << 25, 1 << 15
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 LEDGER = f"blob binary, rule_version int, spans {SPAN}"
 MASK = "[SECRET]"
@@ -100,22 +99,10 @@ def version(rules: tuple[Rule, ...]) -> int:
     return int.from_bytes(hashlib.sha256(repr([tuple(r) for r in rules]).encode()).digest()[:4], "big") >> 1
 
 
-def bit(blob: Column) -> Column:
-    return F.pmod(F.xxhash64(blob), F.lit(BITS)) + 1
-
-
 def crowded(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(bucket, bitmap), at most BITS / ROW_BITS rows: bits of blobs that several rows hold or that are known."""
+    """The bitmap of blobs that several rows hold or that are known."""
     several = rows.groupBy("__blob").agg(F.count("*").alias("n")).where("n > 1").select("__blob")
-    at = several.unionByName(known.select(F.col("blob").alias("__blob"))).select(bit(F.col("__blob")).alias("x"))
-    return at.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bitmap"))
-
-
-def is_set(bitmap: Column, x: Column) -> Column:
-    """Whether bit x is set in its row of the bitmap; rows that aren't there have none."""
-    place = (x - 1) % ROW_BITS
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    return bitmap(several.unionByName(known.select(F.col("blob").alias("__blob"))))
 
 
 def findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +116,11 @@ def findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = Non
         ledger = docs.sparkSession.createDataFrame([], LEDGER)
     known = ledger.where(F.col("rule_version") == now)
     own = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("__blob", address(F.col(text))).withColumn("__x", bit(F.col("__blob"))).withColumn("__bucket", F.expr("bitmap_bucket_number(__x)"))
-    bitmap = F.broadcast(crowded(docs.select(address(F.col(text)).alias("__blob")), known).withColumnRenamed("bucket", "__bucket"))
-    marked = marked.join(bitmap, "__bucket", "left").withColumn("__alone", ~is_set(F.col("bitmap"), F.col("__x")))
+    named = docs.withColumn("__blob", address(F.col(text)))
+    rows = marked(named, F.col("__blob"), crowded(named.select("__blob"), known), "__maybe").withColumn("__alone", ~F.col("__maybe"))
     found = F.concat(*(spans_of(own, r, i) for i, r in enumerate(rules)))
     columns = [F.col(f"`{c}`") if keep_text or c != text else F.when(~F.col("__alone"), F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    first = materialise(marked.select(*columns, "__blob", "__alone", F.monotonically_increasing_id().alias("__row"), F.when(F.col("__alone"), found).alias("__spans")), "scanned")
+    first = materialise(rows.select(*columns, "__blob", "__alone", F.monotonically_increasing_id().alias("__row"), F.when(F.col("__alone"), found).alias("__spans")), "scanned")
     many = first.where("not __alone")
     one = many.groupBy("__blob").agg(F.min("__row").alias("__one"), F.count("*").alias("__n"))
     unseen = one.join(known.select(F.col("blob").alias("__blob")).distinct(), "__blob", "left_anti").select("__one")
@@ -142,7 +128,7 @@ def findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = Non
     fresh = materialise(scan(texts.select("blob", "text"), rules), "fresh")
     # a blob that two runs put down at once has two equal rows
     seen = known.select("blob", "spans").unionByName(fresh).where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("__spans"))
-    hits = one.join(seen.withColumnRenamed("blob", "__blob"), "__blob").select("__blob", "__spans", "__n")
+    hits = one.join(seen.withColumnRenamed("blob", "__blob"), "__blob", "left").select("__blob", "__spans", "__n")
     back = join_hot(many.drop("__spans"), hits, ["__blob"], "__n", many.count())
     rows = first.where("__alone").unionByName(back.select(first.columns)).drop("__alone", "__row")
     new = first.where("__alone").select(F.col("__blob").alias("blob"), F.col("__spans").alias("spans")).unionByName(fresh)

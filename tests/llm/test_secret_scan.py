@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from marlstone.llm import secret_scan
+from marlstone.llm import bitmaps
 from marlstone.llm.secret_scan import MASK, RULES, ledger_of, op8_secret_scan, redact, secrets, version, with_ledger
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -81,7 +81,7 @@ def test_crowded_bitmap(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts()[:60] * 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(secrets(df).collect())
-    monkeypatch.setattr(secret_scan, "BITS", 2)
+    monkeypatch.setattr(bitmaps, "BITS", 2)
     assert sorted(secrets(df).collect()) == want
 
 

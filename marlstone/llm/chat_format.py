@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 ROLES = ("system", "user", "assistant")
 # Names that speakers go by, lower case.
 NAMES = {
@@ -141,7 +143,7 @@ def line_shapes(conversations: DataFrame) -> DataFrame:
             role, opens, kind, n = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(role, pa.string()), pa.array(opens, pa.bool_()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], names=["role", "opens", "shape", "n"])
 
-    part = conversations.select("role", "text").mapInArrow(run, "role string, opens boolean, shape int, n long")
+    part = conversations.select("role", "text").mapInArrow(tidy(run), "role string, opens boolean, shape int, n long")
     return part.groupBy("role", "opens", "shape").agg(F.sum("n").alias("n"))
 
 
@@ -173,7 +175,7 @@ def parse(transcripts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["conv_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
 
     schema = f"conv_id {transcripts.schema['conv_id'].dataType.simpleString()}"
-    return transcripts.select("conv_id", "given", "lines").mapInArrow(run, f"{schema}, {SCHEMA}")
+    return transcripts.select("conv_id", "given", "lines").mapInArrow(tidy(run), f"{schema}, {SCHEMA}")
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:

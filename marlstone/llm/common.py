@@ -7,12 +7,13 @@ operations instead of a Python step per character.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, giving its memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (Steele, Lea and Flood 2014), on uint64."""
     x = x ^ (x >> np.uint64(30))

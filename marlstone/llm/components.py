@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: A key that more than one in HOT rows hold is hot; so there are fewer than HOT such keys.
 HOT = 1000
@@ -66,7 +66,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield star()
 
-    return edges.where("a <> b").select("a", "b").mapInArrow(run, "u long, v long")
+    return edges.where("a <> b").select("a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 def state(pairs: DataFrame) -> tuple[int, bool]:
@@ -77,16 +77,17 @@ def state(pairs: DataFrame) -> tuple[int, bool]:
     return edges, bad == 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, contract: bool = True) -> DataFrame:
     """edges(a long, b long) -> (node, component): each node of an edge with the smallest node that it can reach.
 
-    Each task first contracts its own edges. Stars are minima and joins, so no
+    Each task first contracts its own edges (unless they are stars with a over b). Stars are minima and joins, so no
     node's neighbours are ever collected, and a node with very many neighbours is
     joined by broadcast. Each round is written to the shared folder; the number of
     rounds grows with the logarithm of the longest path. Rounds beyond most_rounds
     are an error, not a result.
     """
-    pairs = materialise(contracted(edges).distinct(), "edges")
+    pairs = contracted(edges) if contract else edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = materialise(pairs.distinct(), "edges")
     for _ in range(most_rounds):
         count, done = state(pairs)
         if done:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import without
-from .common import WordHasher, class_table, lower_table, materialise, shingles, text_chunks, word_bounds
+from .common import WordHasher, class_table, lower_table, materialise, shingles, text_chunks, tidy, word_bounds
 
 MIN_WORDS = 5
 MIN_COVERAGE = 0.8
@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"]) if rows else pa.RecordBatch.from_arrays([batch.column(0)[:0], pa.array([], pa.int64()), *[pa.array([], pa.int64())] * 3, pa.array([], pa.float64())], names=["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
 
         kind = docs.schema[doc_id].dataType.simpleString()
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, item_id {id_type}, {SCHEMA}")
+        part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(scan), f"doc_id {kind}, item_id {id_type}, {SCHEMA}")
         out = part if out is None else out.unionByName(part)
     return out
 

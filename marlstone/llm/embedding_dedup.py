@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import materialise, whole_numbers
+from .common import materialise, release, tidy, whole_numbers
 from .components import components, join_hot
 
 THRESHOLD = 0.95
@@ -166,7 +166,7 @@ def indexed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["embedding", "h1", "h2", "rep", "weight", "cls", "dim", "entry", "keys"])
 
     columns = classes.select("embedding", "h1", "h2", "rep", "weight", F.monotonically_increasing_id().alias("cls"))
-    return columns.mapInArrow(run, f"embedding {kind}, h1 long, h2 int, rep long, weight long, cls long, dim long, entry binary, keys array<int>")
+    return columns.mapInArrow(tidy(run), f"embedding {kind}, h1 long, h2 int, rep long, weight long, cls long, dim long, entry binary, keys array<int>")
 
 
 def good(v: Column) -> Column:
@@ -187,6 +187,7 @@ def found_links(index: DataFrame, threshold: float) -> DataFrame:
         _, dim, _, i, j = (k.as_py() for k in key)
         side = rows.column("side").to_numpy()
         some = pa.array(np.flatnonzero(called_for(read_entries(rows.column("entry").to_pylist(), dim), side, i != j, threshold)))
+        release()
         return rows.select([*GROUP, "side", "cls"]).take(some)
 
     called = dealt.groupBy(*GROUP).applyInArrow(call, "t int, dim long, key int, i int, j int, side int, cls long")
@@ -197,6 +198,7 @@ def found_links(index: DataFrame, threshold: float) -> DataFrame:
         cls, reps, weights, side = (rows.column(c).to_numpy() for c in ("cls", "rep", "weight", "side"))
         keys = np.array(rows.column("keys").to_pylist(), np.int32)
         counts, edges = compare(t, unit(rows.column("embedding").to_pylist()), keys, cls, reps, weights, side, i != j, threshold)
+        release()
         out = [(c, n, None) for c, n in counts] + [(a, 0, b) for a, b in edges]
         a, n, b = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64()), "b": pa.array(b, pa.int64())})

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix, partitions, text_chunks
+from .common import CHUNK_BYTES, mix, partitions, release, text_chunks, tidy, whole_numbers
 
 #: Text that one packing task holds before it sends its blocks.
 PACK_BYTES = 24 << 20
@@ -103,7 +103,8 @@ def buckets_for(docs: DataFrame) -> Buckets:
 
 
 def deal(docs: DataFrame, doc_id: str, text: str, buckets: Buckets) -> DataFrame:
-    """The documents in buckets by their id, as blocks of (ids, lengths, bytes). Null texts are empty."""
+    """The documents in buckets by their id, as blocks of (ids, lengths, bytes). Null texts are empty; ids that aren't whole numbers are an error."""
+    whole_numbers(docs, doc_id)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -133,7 +134,7 @@ def deal(docs: DataFrame, doc_id: str, text: str, buckets: Buckets) -> DataFrame
         return buckets.batch(rows)
 
     ids = F.col(doc_id).cast("long").alias("id")
-    return docs.select(ids, F.col(text).alias("text")).mapInArrow(pack, DEALT)
+    return docs.select(ids, F.col(text).alias("text")).mapInArrow(tidy(pack), DEALT)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -159,11 +160,17 @@ def texts_of(blocks: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tupl
             row = end
 
 
+def trimmed(result: pa.Table) -> pa.Table:
+    """The result of a group, after the memory that it took is given back."""
+    release()
+    return result
+
+
 def ask(dealt: DataFrame, buckets: Buckets, question: Callable[[int, list[bytes]], Iterable[tuple]]) -> DataFrame:
     """question(bucket, document blocks) -> rows, the bucket in them being the key bucket that answers."""
 
     def run(key, rows):
-        return pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(rows)]))])
+        return trimmed(pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(rows)]))]))
 
     return dealt.groupBy("b").applyInArrow(run, DEALT)
 
@@ -172,7 +179,7 @@ def answer(asked: DataFrame, buckets: Buckets, reply: Callable[[int, list[tuple]
     """reply(key bucket, rows) -> rows, the bucket in them being the document bucket that asked."""
 
     def run(key, rows):
-        return pa.Table.from_batches([buckets.batch(reply(buckets.index[key[0].as_py()], list(blocks_of(rows))))])
+        return trimmed(pa.Table.from_batches([buckets.batch(reply(buckets.index[key[0].as_py()], list(blocks_of(rows))))]))
 
     return asked.groupBy("b").applyInArrow(run, DEALT)
 
@@ -181,7 +188,7 @@ def ask_again(dealt: DataFrame, replies: DataFrame, buckets: Buckets, question:
     """question(bucket, document blocks, replies) -> rows. The dealt documents' exchange is used again."""
 
     def run(key, left, right):
-        return pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right))))])
+        return trimmed(pa.Table.from_batches([buckets.batch(question(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right))))]))
 
     return dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(run, DEALT)
 
@@ -190,6 +197,6 @@ def gather(dealt: DataFrame, replies: DataFrame, buckets: Buckets, finish: Calla
     """finish(bucket, document blocks, replies) -> table of the schema."""
 
     def run(key, left, right):
-        return finish(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right)))
+        return trimmed(finish(buckets.index[key[0].as_py()], [x[3] for x in blocks_of(left)], list(blocks_of(right))))
 
     return dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(run, schema)

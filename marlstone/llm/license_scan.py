@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import class_table, lower_table, text_chunks, word_bounds
+from .common import class_table, lower_table, text_chunks, tidy, word_bounds
 
 
 class Notice(NamedTuple):
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: t
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, {SCHEMA}")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

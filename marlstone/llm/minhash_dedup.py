@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import bitmap, marked, without
-from .common import WordHasher, class_table, lower_table, materialise, mix, random64, shingles, text_chunks, whole_numbers, word_bounds
-from .components import components, join_hot
+from .common import WordHasher, class_table, lower_table, materialise, mix, random64, release, shingles, text_chunks, tidy, whole_numbers, word_bounds
+from .components import components, forest, join_hot
 from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, cut, decode, encode
 
 COORDINATES = 64
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 sig = minima(keys, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(np.diff(bounds)), pa.array(high), pa.array(low), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "hi", "lo", "sig"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, n long, hi long, lo long, sig binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(scan), "doc_id long, n long, hi long, lo long, sig binary")
 
 
 def tokens(sig: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def popularity(reps: DataFrame) -> np.ndarray:
             total += np.bincount((tokens(matrix(batch.column(0).to_pylist())) >> np.uint64(64 - CELL_BITS)).astype(np.int64).ravel(), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(total)], names=["cell", "n"])
 
-    rows = reps.select("sig").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = reps.select("sig").mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(CELLS, np.int64)
     for cell, n in rows:
         out[cell] = n
@@ -153,7 +153,7 @@ def pack(reps: DataFrame, buckets: Buckets) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             yield buckets.batch([(b, 0, 0, encode(ids[order[part]], size[order[part]], sig[order[part]].ravel())) for b, part in cut(bucket[order], buckets.n)])
 
-    return reps.select("doc_id", "n", "sig").mapInArrow(run, DEALT)
+    return reps.select("doc_id", "n", "sig").mapInArrow(tidy(run), DEALT)
 
 
 class Bucket:
@@ -296,7 +296,7 @@ def meet(k: int, rows: list[tuple], threshold: int) -> Iterator[tuple]:
 
 
 def candidates(reps: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links on signatures that connect whatever signatures connect."""
+    """(a, b): links on signatures that connect whatever signatures connect, each block's as stars with a over b."""
     spark = reps.sparkSession
     held = spark.sparkContext.broadcast(popularity(reps))
     buckets = buckets_for(reps)
@@ -308,9 +308,10 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in decode(block)], names=["a", "b"])
+                u, v = forest(*decode(block))
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
 
-    return answer(posted, buckets, lambda k, rows: meet(k, rows, threshold)).select("block").mapInArrow(spread, "a long, b long")
+    return answer(posted, buckets, lambda k, rows: meet(k, rows, threshold)).select("block").mapInArrow(tidy(spread), "a long, b long")
 
 
 class Full:
@@ -352,6 +353,7 @@ def confirmed(grouped: DataFrame, keys: list[str], threshold: int) -> DataFrame:
         order = sorted(range(len(ids)), key=lambda i: (not lead[i], ids[i]))
         some = sum(lead) if len(keys) == 3 else len(ids)
         edges = confirm([ids[i] for i in order], [sets[i] for i in order], some, threshold)
+        release()
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return grouped.groupBy(*keys).applyInArrow(run, "a long, b long")
@@ -373,7 +375,7 @@ def full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size:
 
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     texts = marked(texts, F.col("node"), bitmap(members.select("node")), "__maybe").where("__maybe").drop("__maybe")
-    return texts.join(members.hint("shuffle_hash"), "node").select("cluster", F.col("node").alias("doc_id"), "hi", "lo", "text").mapInArrow(run, "cluster long, doc_id long, hi long, lo long, full binary").dropDuplicates(["doc_id", "hi", "lo"]).drop("hi", "lo")
+    return texts.join(members.hint("shuffle_hash"), "node").select("cluster", F.col("node").alias("doc_id"), "hi", "lo", "text").mapInArrow(tidy(run), "cluster long, doc_id long, hi long, lo long, full binary").dropDuplicates(["doc_id", "hi", "lo"]).drop("hi", "lo")
 
 
 def upto(count: str) -> Column:
@@ -382,7 +384,7 @@ def upto(count: str) -> Column:
 
 def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int, threshold: int) -> DataFrame:
     """(a, b): confirmed links that connect the classes; a class goes by its smallest document."""
-    clusters = components(candidates(reps, threshold))
+    clusters = components(candidates(reps, threshold), contract=False)
     members = clusters.select("node", F.col("component").alias("cluster")).join(reps.select(F.col("doc_id").alias("node"), "hi", "lo"), "node")
     sets = materialise(full_sets(docs, members, doc_id, text, size), "sets")
     counts = sets.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

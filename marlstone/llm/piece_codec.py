@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, WordHasher, text_chunks
+from .common import CHUNK_BYTES, WordHasher, text_chunks, tidy
 from .exchange import ranges
 from .pieces import Vocabulary, default_model
 
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "n_byte_pieces", "log_score", "ids_sha256", "round_trip", "ids"][: len(columns)])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, {COLUMNS}" + ", ids array<int>" * with_ids)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(scan), f"doc_id {kind}, {COLUMNS}" + ", ids array<int>" * with_ids)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
@@ -142,7 +142,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema[doc_id].dataType.simpleString()
-    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(scan, f"doc_id {kind}, text string")
+    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(tidy(scan), f"doc_id {kind}, text string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

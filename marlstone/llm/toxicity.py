@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, class_table, lower_table, text_chunks, word_bounds
+from .common import WordHasher, class_table, lower_table, text_chunks, tidy, word_bounds
 from .exchange import ranges
 
 WINDOW, STRIDE = 32, 16
@@ -368,11 +368,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     outside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(outside).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     there = own.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = [there.where(F.col("label") == k).orderBy(*order).limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
-    sample = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, left = [], [], sample_bytes
@@ -387,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         model = train(pa.chunked_array(held, pa.string()).combine_chunks(), np.concatenate(known)) if held else None
         yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], names=["model"])
 
-    rows = sample.repartition(1).sortWithinPartitions(*order).select("label", "text").mapInArrow(run, "model binary").collect()
+    rows = sample.repartition(1).sortWithinPartitions(*order).select("label", "text").mapInArrow(tidy(run), "model binary").collect()
     return bytes(rows[0][0]) if rows else b""
 
 
@@ -421,7 +421,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     kind = docs.schema[doc_id].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(True))
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, held_out boolean, score double, predicted int, n_windows long")
+    return docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(tidy(scan), f"doc_id {kind}, held_out boolean, score double, predicted int, n_windows long")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -435,7 +435,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             good = [scorer(data, offsets)[0] < threshold for _, _, data, offsets in text_chunks(batch.column(place))]
             yield batch.filter(pa.array(np.concatenate(good))) if good else batch
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,26 @@ def pen(blue: Column) -> Column:
 def nested_size(items: Column) -> Column:
     """Sum of the sizes of lists, one for a row that has none."""
     return F.sum(F.when(items.isNull(), 1).otherwise(F.size(items)))
+
+
+# Fixed value: what a number must fit for its sums to be exact.
+PLACES = "decimal(18,6)"
+
+
+def exact(value: Column) -> tuple[Column, Column]:
+    """(its sum as a decimal, whether that is exact) of a group's doubles: so it is if all are decimals of six places at most."""
+    d = value.try_cast(PLACES)
+    return F.sum(d), F.count_if(value.isNotNull() & ~d.cast("double").eqNullSafe(value)) == 0
+
+
+def rounded_sum(value: Column, digits: int) -> Column:
+    """The sum, rounded half away from zero. A sum of doubles hangs on the order of its rows, which isn't fixed here."""
+    total, whole = exact(value)
+    return F.when(whole, F.round(total, digits).cast("double")).otherwise(F.round(F.sum(value), digits))
+
+
+def rounded_mean(value: Column, digits: int) -> Column:
+    """The mean, rounded half away from zero, in whole numbers throughout, so that a tie is told as one."""
+    (total, whole), n = exact(value), F.nullif(F.count(value), F.lit(0))
+    units = F.call_function("div", F.abs(total) * (2 * 10**digits) + n, n * 2)
+    return F.when(whole, F.signum(total.cast("double")) * units / 10**digits).otherwise(F.round(F.avg(value), digits))

@@ -121,7 +121,7 @@ def ordered_concat(t: Tables) -> DataFrame:
 def analytic_wide(t: Tables) -> DataFrame:
     value = F.col("value")
     of = lambda kind: F.when(F.col("event_type") == kind, value)
-    return t.events.groupBy("user_id").agg(F.round(F.sum(of("click")), 2).alias("clicks"), F.round(F.avg(value), 1).alias("mean_value"), F.bool_or((F.col("event_type") == "error") & (value > 50)).alias("any_error"), (F.min(of("purchase")) / 10.0).alias("least_purchase"))
+    return t.events.groupBy("user_id").agg(A.rounded_sum(of("click"), 2).alias("clicks"), A.rounded_mean(value, 1).alias("mean_value"), F.bool_or((F.col("event_type") == "error") & (value > 50)).alias("any_error"), (F.min(of("purchase")) / 10.0).alias("least_purchase"))
 
 
 @query("SELECT l_returnflag, measure, count(*) AS n, sum(v) AS total FROM (SELECT l_returnflag, 'quantity' AS measure, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'linenumber', l_linenumber FROM lineitem) GROUP BY 1, 2")

@@ -167,3 +167,21 @@ def test_set_union_takes_ids_of_late_orders(spark, tmp_path):
     spark.createDataFrame([(k, k % 3) for k in range(400)] + [(500, 8), (10**9, 9), (None, 10)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = [r.id for r in catalogue.queries()["set_union"](spark, str(tmp_path)).collect()]
     assert len(got) == 8 and set(got) == {None, 0, 1, 2, 7, 8, 9, 10}
+
+
+def test_rounding_does_not_hang_on_the_order_of_rows(spark):
+    """A mean that is a tie, on both sides of zero; numbers that no decimal of six places holds are summed as doubles."""
+    tie = [34.57, 74.13] * 2000 + [0.3, 0.1, 0.1, 216.9]
+    rows = [("up", v) for v in sorted(tie)] + [("down", v) for v in sorted(tie, reverse=True)] + [("minus", -v) for v in tie] + [("none", None), ("third", 1 / 3), ("third", 1.0), ("huge", 1e300), ("huge", 1e300), ("nan", float("nan")), ("nan", 1.0), ("cents", 0.005), ("cents", None)]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(aggregates.rounded_sum(F.col("v"), 2).alias("s"), aggregates.rounded_mean(F.col("v"), 1).alias("m")).collect()}
+    assert got["up"] == got["down"] == (217617.4, 54.4) and got["minus"] == (-217617.4, -54.4)
+    assert got["none"] == (None, None) and got["third"] == (1.33, 0.7) and got["huge"] == (2e300, 1e300) and got["cents"] == (0.01, 0.0)
+    assert all(x != x for x in got["nan"])
+
+
+def test_analytic_wide_takes_a_tie_upwards(spark, tmp_path):
+    """A thousand times 0.45 or 54.35: added as doubles in one task they come to a mean below it."""
+    rows = [(k, "view", v) for k, v in ((1, 0.15), (2, 0.35), (3, 0.45), (4, 54.35)) for _ in range(1000)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.user_id: r.mean_value for r in catalogue.queries()["analytic_wide"](spark, str(tmp_path)).collect()} == {1: 0.2, 2: 0.4, 3: 0.5, 4: 54.4}

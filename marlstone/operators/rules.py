@@ -32,14 +32,7 @@ READ = ("ai", "ai_ensemble")
 FLAG, BOOST, MARK = "flag", "boost", "na"
 
 
-def snapshot(values: DataFrame) -> DataFrame:
-    """(record_id, v): a map from field to (text, number, tick); of several rows of a field the largest counts, and none without a field."""
-    own = F.struct(F.col("value_str").alias("text"), F.col("value_num").alias("number"), F.col("value_bool").alias("tick"))
-    listed = values.groupBy("record_id").agg(F.collect_list(F.when(F.col("field_id").isNotNull(), F.struct("field_id", own.alias("own")))).alias("xs"))
-    return listed.select("record_id", field_map("xs").alias("v"))
-
-
-def field_map(entries: str) -> Column:
+def field_map(entries: str | Column) -> Column:
     """An array of (field_id, own) as a map, with the largest entry of each field."""
     ordered = F.reverse(F.array_sort(entries))
     first = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["field_id"] != x["field_id"]), x)), lambda x: x.isNotNull())
@@ -52,9 +45,9 @@ def used() -> list[str]:
     return ["lmp", "edd", "term_date", *pairs, "gravidity", "parity", "living_children", *(f for g in EXCLUSIVE for f in g), *sorted({s for _, switches, _ in NEEDS for s in switches})]
 
 
-def findings() -> Column:
-    """All (field, action, note) that the rules have to say about the columns of used()."""
-    at = F.col
+def findings(prefix: str = "") -> Column:
+    """All (field, action, note) that the rules have to say about the columns of used(), whose names have the prefix."""
+    at = lambda f: F.col(f"`{prefix}{f}`")
     day = lambda f: F.when(F.length(at(f)["text"]) == 10, at(f)["text"].try_cast("date"))
     whole = lambda f: F.when(at(f)["number"] == F.floor(at(f)["number"]), at(f)["number"])
     out: list[Column] = []
@@ -94,11 +87,25 @@ def findings() -> Column:
 
 
 def consistent(values: DataFrame) -> DataFrame:
-    """The values with status, confidence and note as the rules leave them."""
-    fields = snapshot(values).select("record_id", *(F.col("v")[f].alias(f) for f in used()))
-    found = fields.select("record_id", F.inline(findings()))
-    said = found.groupBy("record_id", "field_id").agg(F.max("action").alias("action"), F.max("why").alias("why"))
-    j = values.join(said, ["record_id", "field_id"], "left")  # a row without a record or field has nothing said
+    """The values with status, confidence and note as the rules leave them.
+
+    A record's rows come together once and take what was said from the same row,
+    so nothing is joined: a table of all that was said has no bound, and its size
+    before it is there would be guessed from the input's.
+    """
+    rest = [c for c in values.columns if c != "record_id"]
+    record = F.col("record_id").isNotNull()
+    own = lambda x: F.struct(x["value_str"].alias("text"), x["value_num"].alias("number"), x["value_bool"].alias("tick"))
+    listed = values.where(record).groupBy("record_id").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    entries = F.transform(F.filter("rows", lambda x: x["field_id"].isNotNull()), lambda x: F.struct(x["field_id"], own(x).alias("own")))
+    snapshot = listed.select("record_id", "rows", field_map(entries).alias("v"))  # of several rows of a field the largest counts
+    fields = snapshot.select("record_id", "rows", *(F.col("v")[f].alias(f"at {f}") for f in used()))
+    found = fields.select("record_id", "rows", F.inline(F.array(F.struct(findings("at ").alias("said")))))  # a generator keeps the optimizer from looking fields up anew for each use
+    each = found.select("record_id", F.inline("rows"), "said")
+    of = lambda name: F.array_max(F.transform(F.filter("said", lambda s: s["field_id"] == F.col("field_id")), lambda s: s[name])).alias(name)
+    j = each.select("record_id", *rest, of("action"), of("why"))
+    nothing = F.lit(None).cast("string")
+    j = j.unionByName(values.where(~record).select("*", nothing.alias("action"), nothing.alias("why")))  # a row without a record or field has nothing said
     read = F.col("source").isin(*READ)
     note = F.coalesce("note", F.lit(""))
     filled = F.coalesce(F.col("value_str"), F.col("value_num").cast("string"), F.col("value_bool").cast("string")).isNotNull()

@@ -50,3 +50,14 @@ def test_repeated_and_nameless_fields(spark):
     assert sorted(out, key=str) == [("gravidity", "NEEDS_REVIEW"), ("gravidity", "NEEDS_REVIEW"), ("parity", "NEEDS_REVIEW"), (None, "KNOWN")]
     kept = [("a", "age", None, 27.0, None, "KNOWN", True), ("a", "age", None, 31.0, None, "KNOWN", True), ("a", None, None, 5.0, None, "KNOWN", True)]
     assert [r.age for r in wide(spark.createDataFrame(kept, "record_id string, field_id string, value_str string, value_num double, value_bool boolean, status string, valid boolean")).collect()] == [31.0]
+
+
+def test_rules_join_nothing(spark):
+    """What was said of all records isn't sent to the driver, whatever the size that is guessed for it; rows without a record stay as they are."""
+    rows = [(r, f, None, n, None, "KNOWN", 0.9, "ai", "") for r in ("a", "b", None) for f, n in (("gravidity", 2.0), ("parity", 3.0 if r != "b" else 1.0))]
+    out = consistent(spark.createDataFrame(rows, VALUES))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    assert sorted((str(r.record_id), r.field_id, r.status) for r in out.collect()) == [
+        ("None", "gravidity", "KNOWN"), ("None", "parity", "KNOWN"), ("a", "gravidity", "NEEDS_REVIEW"), ("a", "parity", "NEEDS_REVIEW"), ("b", "gravidity", "KNOWN"), ("b", "parity", "KNOWN"),
+    ]

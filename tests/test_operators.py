@@ -185,3 +185,24 @@ def test_analytic_wide_takes_a_tie_upwards(spark, tmp_path):
     rows = [(k, "view", v) for k, v in ((1, 0.15), (2, 0.35), (3, 0.45), (4, 54.35)) for _ in range(1000)]
     spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert {r.user_id: r.mean_value for r in catalogue.queries()["analytic_wide"](spark, str(tmp_path)).collect()} == {1: 0.2, 2: 0.4, 3: 0.5, 4: 54.4}
+
+
+def test_records_alike_are_paired_as_one(spark, monkeypatch):
+    """300 records of five kinds: the candidates that brute force finds, from pairs of kinds; a probe outside the known records, and known ones without an id, too."""
+    rnd = random.Random(8)
+    kinds = [("C10-1", 27, "Fes", date(2026, 1, 1), date(2025, 4, 1)), ("C12-1", 28, "fes", date(2026, 1, 5), date(2025, 4, 3)), ("C99-7", 27, "Azilal", date(2026, 1, 3), None), ("", 40, "", date(2026, 1, 2), date(2025, 4, 9)), (None, 27, "Fes", None, date(2025, 4, 2))]
+    rows = [(i, *rnd.choice(kinds)) for i in rnd.sample(range(1000), 300)]
+    schema = "id long, code string, age int, place string, due date, period date"
+    known, probes = spark.createDataFrame([*rows, (None, *kinds[0])], schema), spark.createDataFrame([r for r in rows if r[0] % 3 == 0] + [(2000, *kinds[1]), (None, *kinds[0])], schema)
+    pairs = probes.select(F.struct("*").alias("a")).crossJoin(known.select(F.struct("*").alias("b"))).select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), linkage.points().alias("score")).where("probe <> id and score >= 35").collect()
+    want = {}
+    for p in sorted(pairs, key=lambda p: (p.probe, -p.score, p.id)):
+        want.setdefault(p.probe, []).append((p.id, p.score))
+    seen, real = spark.sparkContext.accumulator(0), linkage.points
+    counted = F.udf(lambda x: (seen.add(1), x)[1], "int")
+    monkeypatch.setattr(linkage, "points", lambda: counted(real()))
+    got = {}
+    for r in sorted(linkage.candidates(probes, known).collect(), key=lambda r: (r.probe, r.rank)):
+        got.setdefault(r.probe, []).append((r.id, r.score))
+    assert got == {p: c[:3] for p, c in want.items()} and len(got) > 50
+    assert seen.value < 5000

@@ -39,6 +39,8 @@ ANCHOR = 24
 SPAN = WINDOW - ANCHOR + 1
 #: Contexts of one anchor in one document bucket beyond which its windows are dealt by their hashes.
 CROWD = 8
+#: Text that is hashed at once: a dozen passes over eight-byte arrays of this length stay in the CPU's cache.
+SMALL_BYTES = 1 << 17
 QUESTION, HOT, CONTEXT, SETTLED, PARTIAL, PASSED = range(1, 7)
 #: A message's contexts (place, anchor, document, left, length, bytes) and windows (place, number, hash, document), if it has none.
 NOTHING = [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int64, np.uint8, np.uint8, np.uint8)]
@@ -122,73 +124,92 @@ class Scanner:
         self.hasher = WordHasher(53)
 
     def anchors(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the 24 bytes at each place; place of the leftmost smallest one in the window at each place."""
+        """Hash of the 24 bytes at each place; place of the leftmost smallest one, by its upper 58 bits, in the window at each place."""
         times = lambda k: np.uint64(pow(self.base, k, 1 << 64))
+
+        def joined(left: np.ndarray, size: int, right: np.ndarray) -> np.ndarray:
+            out = left * times(size)
+            out += right
+            return out
+
         with np.errstate(over="ignore"):
-            h = self.values[data]
+            h = np.take(self.values, data)
             size = 1
             while size < 16:
-                h = h[:-size] * times(size) + h[size:]
+                h = joined(h[:-size], size, h[size:])
                 size *= 2
                 if size == 8:
                     eight = h
-            h = mix(h[: len(data) - ANCHOR + 1] * times(8) + eight[16:])
-        least, where = h, np.arange(len(h), dtype=np.int32)
+            h = mix(joined(h[: len(data) - ANCHOR + 1], 8, eight[16:]))
+        # the lower 6 bits tell how far the smallest is from the window's start; so equal hashes go by place, wherever the window stands
+        least = h & ~np.uint64(63)
         size = 1
         while size < SPAN:
             step = min(size, SPAN - size)
-            a, b = least[:-step], least[step:]
-            where = np.where(b < a, where[step:], where[:-step])
-            least = np.minimum(a, b)
+            later = least[step:] + np.uint64(step)
+            least = np.minimum(least[:-step], later, out=later)
             size += step
-        return h, where
+        least &= np.uint64(63)
+        return h, np.arange(len(least), dtype=np.int32) + least.astype(np.int32)
 
     def contexts(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, first window, last window, anchor's place, anchor hash, context hash), in order of place."""
         parts = []
         n = len(data)
+        cuts = np.concatenate([offsets[:-1], np.maximum(offsets[1:] - WINDOW + 1, offsets[:-1])])  # where a row begins, and where its windows end
         for low in range(0, max(1, n - WINDOW + 1), CHUNK_BYTES):  # very long documents go slice by slice
             part = data[low : low + CHUNK_BYTES + WINDOW - 1]
             if len(part) < WINDOW:
                 break
             h, where = self.anchors(part)
-            rows = np.searchsorted(offsets, np.arange(low, low + len(where)), side="right") - 1 if len(offsets) > 2 else np.zeros(len(where), np.int64)
-            valid = np.arange(low, low + len(where)) + WINDOW <= offsets[rows + 1]
             new = np.ones(len(where), bool)
-            new[1:] = (where[1:] != where[:-1]) | (valid[1:] != valid[:-1]) | (rows[1:] != rows[:-1])
+            new[1:] = where[1:] != where[:-1]
+            here = cuts - low
+            new[here[(here >= 0) & (here < len(where))]] = True
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(where)) - 1
-            keep = valid[first]
-            first, last = first[keep], last[keep]
+            rows = np.searchsorted(offsets, first + low, side="right") - 1 if len(offsets) > 2 else np.zeros(len(first), np.int64)
+            keep = first + low + WINDOW <= offsets[rows + 1]
+            rows, first, last = rows[keep], first[keep], last[keep]
             a = where[first].astype(np.int64)
             key = self.hasher(part, first, last + WINDOW)
             with np.errstate(over="ignore"):
                 key = mix(key + (a - first).astype(np.uint64)) >> np.uint64(16)
-            parts.append((rows[first], first + low, last + low, a + low, h[a], key))
+            parts.append((rows, first + low, last + low, a + low, h[a], key))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
 
-    def bucket(self, blocks: list[bytes]) -> dict[str, np.ndarray]:
-        """Different (anchor, context) of a bucket, sorted, with their smallest document; crowd marks crowded anchors."""
-        found = []
-        for ids, offsets, data in texts_of(blocks):
+    def bucket(self, blocks: list[bytes], again: bool = False) -> dict:
+        """Different (anchor, context) of a bucket, sorted, with their smallest document; crowd marks crowded anchors.
+
+        Where the texts are gone through again, chunks has (row, first window, last window, anchor's
+        place, place in the list) of the contexts of each chunk of chunks_of().
+        """
+        found, chunks = [], []
+        for ids, offsets, data in chunks_of(blocks):
             row, first, last, a, m, key = self.contexts(offsets, data)
             found.append((m, key, ids[row]))
+            if again:
+                kind = np.int32 if len(data) <= np.iinfo(np.int32).max else np.int64
+                chunks.append([x.astype(kind) for x in (row, first, last, a)])
         m, key, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        del found
         order = np.lexsort((doc, key, m))
         m, key, doc = m[order], key[order], doc[order]
         new = np.ones(len(m), bool)
         new[1:] = (m[1:] != m[:-1]) | (key[1:] != key[:-1])
+        if again:
+            at = np.empty(len(m), np.int32 if len(m) <= np.iinfo(np.int32).max else np.int64)
+            at[order] = np.cumsum(new) - 1
+            for own, end in zip(chunks, np.cumsum([len(x[0]) for x in chunks]).tolist(), strict=True):
+                own.append(at[end - len(own[0]) : end])
         m, key, doc = m[new], key[new], doc[new]
         group = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(group, len(m)))
-        folded = mix(m ^ mix(key))
-        order = np.argsort(folded)
-        return {"m": m, "key": key, "doc": doc, "crowd": np.repeat(sizes > CROWD, sizes), "folded": folded[order], "order": order}
+        return {"m": m, "key": key, "doc": doc, "crowd": np.repeat(sizes > CROWD, sizes), "chunks": chunks}
 
 
-def locate(m: np.ndarray, key: np.ndarray, own: dict) -> np.ndarray:
-    """Place of each (anchor, context) in the bucket's list, which holds them all."""
-    return own["order"][np.searchsorted(own["folded"], mix(m ^ mix(key)))]
+def chunks_of(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return texts_of(blocks, min(CHUNK_BYTES, SMALL_BYTES))
 
 
 def key_bucket(values: np.ndarray, n: int) -> np.ndarray:
@@ -264,12 +285,10 @@ def settled(own: dict, replies: list[tuple], n: int) -> tuple[np.ndarray, np.nda
     return state, least
 
 
-def first_texts(scanner: Scanner, blocks: list[bytes], own: dict, wanted: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
+def first_texts(blocks: list[bytes], own: dict, wanted: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
     """(place in the list, bytes, bytes before the anchor, windows) once for each wanted context of the bucket."""
     missing = wanted.copy()
-    for _, offsets, data in texts_of(blocks):
-        _, first, last, a, m, key = scanner.contexts(offsets, data)
-        at = locate(m, key, own)
+    for (_, _, data), (_, first, last, a, at) in zip(chunks_of(blocks), own["chunks"], strict=True):
         for i in np.flatnonzero(missing[at]).tolist():
             if missing[at[i]]:
                 missing[at[i]] = False
@@ -279,12 +298,12 @@ def first_texts(scanner: Scanner, blocks: list[bytes], own: dict, wanted: np.nda
 def contest(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> list[tuple]:
     """Step 3a: contested contexts go out with their bytes, or window by window where anchors are crowded."""
     scanner = Scanner()
-    own = scanner.bucket(blocks)
+    own = scanner.bucket(blocks, again=True)
     state, _ = settled(own, replies, n)
     passed = [(k, block) for _, kind, k, block in replies if kind == SETTLED]
     rows = [(n + b, PASSED, b, encode(np.array([k for k, _ in passed]), np.array([len(x) for _, x in passed]), np.frombuffer(b"".join(x for _, x in passed), np.uint8)))]
     contexts, windows = [], []
-    for at, text, left, count in first_texts(scanner, blocks, own, state >= 2):
+    for at, text, left, count in first_texts(blocks, own, state >= 2):
         (contexts if state[at] == 2 else windows).append((at, text, left, count))
     parts: dict[int, list] = {}
     at = np.array([x[0] for x in contexts], np.int64)
@@ -392,8 +411,7 @@ def repeats(m: np.ndarray, doc: np.ndarray, left: np.ndarray, length: np.ndarray
 
 def remove(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> pa.Table:
     """Step 4: what is left of each document."""
-    scanner = Scanner()
-    own = scanner.bucket(blocks)
+    own = Scanner().bucket(blocks, again=True)
     _, least = settled(own, replies, n)
     mask = np.zeros(len(least), np.uint32)
     for _, kind, _, block in replies:
@@ -401,9 +419,7 @@ def remove(b: int, blocks: list[bytes], replies: list[tuple], n: int) -> pa.Tabl
             at, bits = decode(block)
             np.bitwise_or.at(mask, at, bits)
     out: list[tuple] = []
-    for ids, offsets, data in texts_of(blocks):
-        row, first, last, _, m, key = scanner.contexts(offsets, data)
-        at = locate(m, key, own)
+    for (ids, offsets, data), (row, first, last, _, at) in zip(chunks_of(blocks), own["chunks"], strict=True):
         steps = np.zeros(len(data) + 1, np.int64)
         full = least[at] < ids[row]
         np.add.at(steps, first[full], 1)

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import suffix_dedup
+from marlstone.llm.exchange import encode
 from marlstone.llm.suffix_dedup import WINDOW, maximal_repeats, repeated_passages
 
 
@@ -95,3 +97,30 @@ def test_maximal_repeats_against_all_substrings():
                 want.append((s, sorted(w)))
         got = [(s, sorted(w)) for s, w in maximal_repeats(texts, 2)]
         assert got == sorted(want)
+
+
+def test_anchors_are_the_leftmost_smallest():
+    """In every window by a plain search, with equal strings in it too; equal windows have it at equal places."""
+    scanner = suffix_dedup.Scanner()
+    rnd = random.Random(9)
+    for text in (bytes(rnd.choice(b"abc d") for _ in range(400)), b"ab" * 90, b"a" * 130, b"abcdefghijklm" * 12):
+        h, where = scanner.anchors(np.frombuffer(text, np.uint8))
+        assert len(h) == len(text) - suffix_dedup.ANCHOR + 1 and len(where) == len(text) - WINDOW + 1
+        for i, at in enumerate(where.tolist()):
+            assert at == min(range(i, i + suffix_dedup.SPAN), key=lambda j: (int(h[j]) >> 6, j))
+        first = {}
+        for i, at in enumerate(where.tolist()):
+            assert first.setdefault(text[i : i + WINDOW], at - i) == at - i
+
+
+def test_a_task_hashes_its_texts_once(monkeypatch):
+    rows = make(6, n=40)
+    texts = [t.encode() for _, t in rows]
+    block = encode(np.array([d for d, _ in rows], np.int64), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+    calls, real = [], suffix_dedup.Scanner.contexts
+    monkeypatch.setattr(suffix_dedup.Scanner, "contexts", lambda *x: calls.append(1) or real(*x))
+    replies = list(suffix_dedup.settle(0, list(suffix_dedup.pose(0, [block], 1))))
+    asked = suffix_dedup.contest(0, [block], replies, 1)
+    decided = [r for k in (0, 1) for r in suffix_dedup.decide(k, [r for r in asked if r[0] == k])]
+    suffix_dedup.remove(0, [block], decided, 1)
+    assert len(calls) == 3  # asking, contesting, removing

@@ -184,6 +184,15 @@ def answer(asked: DataFrame, buckets: Buckets, reply: Callable[[int, list[tuple]
     return asked.groupBy("b").applyInArrow(run, DEALT)
 
 
+def conclude(asked: DataFrame, buckets: Buckets, last: Callable[[int, list[tuple]], pa.Table], schema: str) -> DataFrame:
+    """last(key bucket, rows) -> table of the schema, in the worker that has the rows: another function behind answer() would take a second one in each task."""
+
+    def run(key, rows):
+        return trimmed(last(buckets.index[key[0].as_py()], list(blocks_of(rows))))
+
+    return asked.groupBy("b").applyInArrow(run, schema)
+
+
 def ask_again(dealt: DataFrame, replies: DataFrame, buckets: Buckets, question: Callable[[int, list[bytes], list[tuple]], Iterable[tuple]]) -> DataFrame:
     """question(bucket, document blocks, replies) -> rows. The dealt documents' exchange is used again."""
 

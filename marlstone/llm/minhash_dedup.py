@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bitmaps import bitmap, marked, without
 from .common import WordHasher, class_table, lower_table, materialise, mix, random64, release, shingles, text_chunks, tidy, whole_numbers, word_bounds
 from .components import components, forest, join_hot
-from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, cut, decode, encode
+from .exchange import DEALT, Buckets, answer, ask, ask_again, buckets_for, conclude, cut, decode, encode
 
 COORDINATES = 64
 #: Counters of how popular postings are; they set the order of postings, not the result.
@@ -305,13 +305,12 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     replies = answer(ask(dealt, buckets, lambda b, blocks: pose(b, blocks, n, held.value, threshold)), buckets, shared)
     posted = ask_again(dealt, replies, buckets, lambda b, blocks, rows: post(b, blocks, rows, n, held.value, threshold))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                u, v = forest(*decode(block))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+    def stars(k: int, rows: list[tuple]) -> pa.Table:
+        held = [(np.zeros(0, np.int64),) * 2, *(forest(*decode(block)) for *_, block in meet(k, rows, threshold))]
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
-    return answer(posted, buckets, lambda k, rows: meet(k, rows, threshold)).select("block").mapInArrow(tidy(spread), "a long, b long")
+    return conclude(posted, buckets, stars, "a long, b long")
 
 
 class Full:
@@ -409,7 +408,7 @@ def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int, t
     left = sets.join(rest.select("doc_id", "blocks", "chunk"), "doc_id").select("cluster", F.explode(upto("blocks")).alias("block"), "chunk", F.lit(True).alias("lead"), "doc_id", "full")
     right = sized.join(chunks, "cluster").select("cluster", block.cast("long").alias("block"), F.explode(upto("chunks")).alias("chunk"), F.lit(False).alias("lead"), "doc_id", "full")
     right = right.join(rest.select("doc_id", F.col("chunk").alias("own")), "doc_id", "left").where("own is null or own <> chunk").select(left.columns)
-    more = confirmed(left.unionByName(right), ["cluster", "block", "chunk"], threshold)
+    more = materialise(confirmed(left.unionByName(right), ["cluster", "block", "chunk"], threshold), "more_links")
     return found.unionByName(more)
 
 

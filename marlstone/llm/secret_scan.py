@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bitmaps import bitmap, marked
 from .common import materialise, shared_base
@@ -113,7 +114,7 @@ def findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = Non
     """
     now = version(rules)
     if ledger is None:
-        ledger = docs.sparkSession.createDataFrame([], LEDGER)
+        ledger = empty_ledger(docs.sparkSession)
     known = ledger.where(F.col("rule_version") == now)
     own = F.coalesce(F.col(text), F.lit(""))
     named = docs.withColumn("__blob", address(F.col(text)))
@@ -144,12 +145,17 @@ def report(paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return paths.select("doc_id", *counts, F.sha2(named(base, rules).cast("binary"), 256).alias("base_sha256"), named(spans, rules).alias("spans"))
 
 
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    """A ledger without rows, made in the JVM: createDataFrame() would make it an RDD of Python's, with workers of a second kind that stay in each executor."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(LEDGER)))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at a path (Parquet), empty if there is none yet."""
     try:
         return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], LEDGER)
+        return empty_ledger(spark)
 
 
 def ledger_of(spark: SparkSession, place: str) -> str:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from marlstone.llm import components as stars
 from marlstone.llm import minhash_dedup
 from marlstone.llm.components import components
 from marlstone.llm.minhash_dedup import keep_one, near_duplicates
@@ -79,6 +80,41 @@ def test_large_clusters_in_blocks(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def most_workers(df):
+    """The most Python workers that a task of the frame's plan takes: nodes of Python's with no exchange between them."""
+    stages = []
+
+    def within(node):
+        below = [within(node.children().apply(i)) for i in range(node.children().size())]
+        if "Exchange" in node.nodeName():
+            stages.extend(below)
+            return 0
+        return ("InArrow" in node.nodeName()) + (max(below, default=0) if node.nodeName() == "Union" else sum(below))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return max([within(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan), *stages])
+
+
+def test_a_task_takes_one_python_worker(spark, monkeypatch):
+    """Workers outlive their tasks, so that a second one in each task stays in the executor's memory for all stages to come."""
+    seen = {}
+
+    def recorded(df, name, write=minhash_dedup.materialise):
+        seen[name] = max(seen.get(name, 0), most_workers(df))
+        return write(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "materialise", recorded)
+    monkeypatch.setattr(stars, "materialise", recorded)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 5)
+    words = [f"w{i}" for i in range(120)]
+    apart = [*words[:50], *(f"x{i}" for i in range(7)), *words[57:]]  # at 0.845 of the words: signatures link, full sets don't
+    rows = [(i, " ".join([*(apart if i % 3 else words), f"v{i}"])) for i in range(60)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    recorded(found, "result")
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
+    assert seen.pop("result") <= 1 and {"signatures", "edges", "sets", "links", "more_links"} <= set(seen) and max(seen.values()) == 1, seen
+
+
 def test_edge_rows(spark):
     long = " ".join(f"a{i % 977}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "one"), (7, long), (8, long + " b"), (None, "one two"), (None, long), (4, "One two"), (9, "x y z"), (10, "x y z x y z")]

@@ -3,7 +3,7 @@ import random
 import re
 
 from marlstone.llm import bitmaps
-from marlstone.llm.secret_scan import MASK, RULES, ledger_of, op8_secret_scan, redact, secrets, version, with_ledger
+from marlstone.llm.secret_scan import LEDGER, MASK, RULES, ledger_of, op8_secret_scan, read_ledger, redact, secrets, version, with_ledger
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -57,6 +57,12 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(path).groupBy("rule_version").count().count() == 2
 
 
+def test_an_empty_ledger_takes_no_python_workers(spark, tmp_path):
+    empty = read_ledger(spark, str(tmp_path / "ledger"))
+    assert empty.schema == spark.createDataFrame([], LEDGER).schema and empty.count() == 0
+    assert "RDD" not in empty._jdf.queryExecution().toString()
+
+
 def test_findings_come_from_the_ledger(spark, tmp_path):
     """A blob that is in the ledger isn't scanned: what the ledger says of it is what comes out."""
     path = str(tmp_path / "ledger")
